@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from newsloom.llm import decontaminate
+from newsloom.llm import decontaminate, mixing, sharding
 
 
 def queries() -> dict:
     return {
         "op3_benchmark_decontamination": decontaminate.op3,
+        "op7_sharding": sharding.op7,
+        "op9_mixing": mixing.op9,
     }
 
 
