@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from newsloom.llm import decontaminate, mixing, sharding
+from newsloom.llm import decontaminate, mixing, ngram_join, sharding
 
 
 def queries() -> dict:
     return {
+        "op1_ngram_jaccard_join": ngram_join.op1,
         "op3_benchmark_decontamination": decontaminate.op3,
         "op7_sharding": sharding.op7,
         "op9_mixing": mixing.op9,
