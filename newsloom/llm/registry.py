@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from newsloom.llm import decontaminate, mixing, ngram_join, sharding
+from newsloom.llm import decontaminate, fingerprints, mixing, ngram_join, secrets_scan, sharding, url_filters
 
 
 def queries() -> dict:
     return {
         "op1_ngram_jaccard_join": ngram_join.op1,
+        "op2_url_filters": url_filters.op2,
         "op3_benchmark_decontamination": decontaminate.op3,
+        "op4_secret_scans": secrets_scan.op4,
+        "op5_document_fingerprints": fingerprints.op5,
         "op7_sharding": sharding.op7,
         "op9_mixing": mixing.op9,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_url_filters": url_filters.SQL,
+    }
