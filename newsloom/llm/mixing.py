@@ -162,7 +162,8 @@ class Mix:
     def taken(self) -> DataFrame:
         """One row a document: doc_id, tie, size, source_size, target, taken."""
         uses = self.slot_table().groupBy("s", "block").agg(F.count("*").alias("uses"))
-        got = self.pieces().join(uses, ["s", "block"], "left")
+        # the planner takes the slots for a small table: without the hint it would broadcast one row a block
+        got = self.pieces().join(uses.hint("merge"), ["s", "block"], "left")
         key = ["s", "start", "doc_id", "tie", "size", "source_size", "target"]
         full = got.groupBy(*key).agg(F.coalesce(F.sum((F.col("hi") - F.col("lo")) * F.coalesce("uses", F.lit(0))), F.lit(0)).alias("taken"))
         none = self.packed.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
@@ -174,7 +175,7 @@ class Mix:
         words = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("tie"), F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)).alias("w")).dropDuplicates(["doc_id", "tie"])
         parts = self.pieces().join(words, ["doc_id", "tie"]).select("s", "block", "start", F.array_join(F.slice("w", (F.col("lo") - F.col("start") + 1).cast("int"), (F.col("hi") - F.col("lo")).cast("int")), " ").alias("t"))
         whole = parts.groupBy("s", "block").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "t"))), lambda x: x["t"]), " ").alias("text"))
-        return self.slot_table().join(whole, ["s", "block"]).select("shard", "slot", "text")
+        return self.slot_table().hint("merge").join(whole, ["s", "block"]).select("shard", "slot", "text")
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
