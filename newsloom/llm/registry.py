@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from newsloom.llm import decontaminate, fingerprints, mixing, ngram_join, secrets_scan, sharding, url_filters
+from newsloom.llm import decontaminate, fingerprints, html_extract, mixing, ngram_join, quality, secrets_scan, sharding, token_counts, url_filters
 
 
 def queries() -> dict:
@@ -12,8 +12,11 @@ def queries() -> dict:
         "op3_benchmark_decontamination": decontaminate.op3,
         "op4_secret_scans": secrets_scan.op4,
         "op5_document_fingerprints": fingerprints.op5,
+        "op6_quality_classifier": quality.op6,
         "op7_sharding": sharding.op7,
+        "op8_token_counts": token_counts.op8,
         "op9_mixing": mixing.op9,
+        "op10_html_extraction": html_extract.op10,
     }
 
 
