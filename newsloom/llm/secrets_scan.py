@@ -67,7 +67,9 @@ def default_samples(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     key = F.sha2(F.col("id").cast("string"), 256)
     b64 = F.regexp_replace(F.base64(F.unhex(key)), "=+$", "")
     made = spark.range(SAMPLE_RANDOM).select(F.explode(F.array(b64, F.substring(key, 1, 40), F.upper(F.substring(F.regexp_replace(b64, "[^A-Za-z0-9]", ""), 1, 32)), F.translate(b64, "+/", "-_"))).alias("token"))
-    some = docs.orderBy(F.xxhash64(doc_id), doc_id).limit(SAMPLE_DOCS).select(F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"[^A-Za-z]+"), lambda w: F.length(w) > 1).alias("w"))
+    # the ids are chosen first, so that no task gathers texts of all others
+    ids = docs.select(F.col(doc_id).alias("_id")).distinct().orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE_DOCS)
+    some = docs.join(F.broadcast(ids), F.col(doc_id) == F.col("_id")).select(F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"[^A-Za-z]+"), lambda w: F.length(w) > 1).alias("w"))
     n = F.size("w")
 
     def joined(by, f=lambda x: x):
