@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +46,20 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def python_path(spark: SparkSession) -> None:
+    """Put this package's folder on the path of the Python workers."""
+    environment = spark.sparkContext.environment
+    home = str(Path(__file__).resolve().parents[2])
+    if home not in environment.get("PYTHONPATH", "").split(os.pathsep):
+        environment["PYTHONPATH"] = os.pathsep.join(x for x in (home, environment.get("PYTHONPATH", "")) if x)
+
+
+def arrow_map(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow(run), where workers find this package."""
+    python_path(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """df without columns that clash, in any case, with names that an operator adds."""
     taken = {n.lower() for n in names}

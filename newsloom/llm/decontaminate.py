@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from newsloom.llm.common import cut
+from newsloom.llm.common import arrow_map, cut
 
 WINDOW = 13
 #: Characters of all windows in one automaton (about 50 bytes of memory each); more items take more passes.
@@ -179,7 +179,7 @@ def _pass(docs: DataFrame, broadcast, doc_text: str, first: bool, added: T.Struc
                 ready = pa.RecordBatch.from_arrays([*arrays, *more], names=[*out, *added.names])
                 yield ready.filter(pa.array([not x for x in bad])) if keep == "clean" else ready
 
-    return docs.mapInArrow(run, schema)
+    return arrow_map(docs, run, schema)
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

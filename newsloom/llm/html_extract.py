@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from newsloom.llm.common import table
+from newsloom.llm.common import arrow_map, table
 from newsloom.llm.dom import attributes, parse
 
 PAGES, SEED, TREES, DEPTH, RATE, BINS = 500, 11, 60, 4, 0.25, 32
@@ -333,7 +333,7 @@ def extract(pages: DataFrame, html: str = "html", carry: list[str] | None = None
                 texts = extracted(b.column(html).to_pylist(), shared.value)
                 yield pa.RecordBatch.from_arrays([*[b.column(c) for c in carry], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=schema.names)
 
-    return used.mapInArrow(run, schema)
+    return arrow_map(used, run, schema)
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

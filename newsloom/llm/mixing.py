@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import cut, running, table, without
+from newsloom.llm.common import cut, python_path, running, table, without
 
 WEIGHTS = (3, 1, 2)
 SHARE, MOST = 1.5, 2.0
@@ -150,6 +150,7 @@ class Mix:
                     order = np.random.default_rng([seed, int(shard), 1]).permutation(len(s))
                     yield pd.DataFrame({"shard": np.int64(shard), "slot": np.arange(len(s)), "s": s[order].astype(np.int32), "block": at[order]})
 
+        python_path(self.spark)
         wide = min(shards, max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions"))) * 4)
         return self.spark.range(0, shards if total else 0, 1, wide).mapInPandas(run, "shard long, slot long, s int, block long")
 

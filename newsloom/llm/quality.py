@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsloom.llm.common import cut, table, without
+from newsloom.llm.common import arrow_map, cut, table, without
 from newsloom.llm.shingles import _words
 
 SAMPLE = 6000
@@ -123,7 +123,7 @@ def scored(docs: DataFrame, models: tuple[Model, Model], carry: list[str], text:
                 f = features(b.column(text))
                 yield pa.RecordBatch.from_arrays([*[b.column(c) for c in carry], pa.array(bad.logit(*f)), pa.array(toxic.logit(*f))], names=schema.names)
 
-    return used.mapInArrow(run, schema)
+    return arrow_map(used, run, schema)
 
 
 def _p(logit: Column) -> Column:

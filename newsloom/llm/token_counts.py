@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from newsloom.llm.common import table
+from newsloom.llm.common import arrow_map, table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the public pattern that splits text before the merges of this vocabulary.
@@ -96,7 +96,7 @@ def token_counts(docs: DataFrame, fields: list[str], carry: list[str], path: str
                 arrays += [pa.array([int(f[i]) for _, f, _ in got], pa.int64()) for i in range(len(fields))]
                 yield pa.RecordBatch.from_arrays([*arrays, pa.array([s.tolist() for _, _, s in got], pa.list_(pa.int64()))], names=[*carry, *added.names])
 
-    return used.mapInArrow(run, schema)
+    return arrow_map(used, run, schema)
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
