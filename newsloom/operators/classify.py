@@ -123,7 +123,7 @@ def junk_features(articles: DataFrame, text: str = "text") -> DataFrame:
 def features(articles: DataFrame, text: str = "text", year: str = "year", rules: Thresholds = Thresholds()) -> DataFrame:
     """Adds the junk features and, for texts that pass them and name flu, the sentence sums (zeros else)."""
     f = junk_features(articles, text)
-    passed = ~F.col("is_spam") & (F.col("n_norm") >= rules.min_chars) & (F.col("n_digits") <= rules.max_digit_ratio * F.col("n_norm")) & (F.col("n_dated") < rules.max_dated) & (F.col("n_flu") > 0)
+    passed = ~F.col("is_spam") & (F.col("n_norm") >= rules.min_chars) & ~(F.try_divide("n_digits", "n_norm") > rules.max_digit_ratio) & (F.col("n_dated") < rules.max_dated) & (F.col("n_flu") > 0)
     zero = F.struct(*[F.lit(0).alias(n) for n in SUMS])
     return f.withColumn("sums", F.when(passed, sentence_sums(F.col(text), F.col(year))).otherwise(zero)).drop("norm")
 
@@ -133,13 +133,13 @@ def bucket_of(rules: Thresholds = Thresholds()) -> Column:
     x = {n: F.col(f"sums.{n}") for n in SUMS}
     flu, n, chars = x["flu"], F.col("n_flu"), F.col("n_norm")
     current = x["numbered"] + x["event"]
-    share = lambda name: x[name] / flu
+    share = lambda name: F.try_divide(x[name], flu)
     quiet_research = share("research") < rules.research_max
-    animal = F.col("n_animal") / (n + F.col("n_animal")) >= rules.animal
+    animal = F.try_divide("n_animal", n + F.col("n_animal")) >= rules.animal
     steps = [
         ("X_spam_stub", F.col("is_spam")),
         ("X_too_short", chars < rules.min_chars),
-        ("X_listing_garbled", (F.col("n_digits") / chars > rules.max_digit_ratio) | (F.col("n_dated") >= rules.max_dated)),
+        ("X_listing_garbled", (F.try_divide("n_digits", chars) > rules.max_digit_ratio) | (F.col("n_dated") >= rules.max_dated)),
         ("N_no_flu_text", flu == 0),
         ("Z_zoonotic_human", animal & (x["bird_flu_human"] > 0)),
         ("N_animal_flu", animal),
