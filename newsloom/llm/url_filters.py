@@ -99,7 +99,8 @@ def demo_entries(pages: DataFrame) -> DataFrame:
 def op2(spark, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     captures = pages.withColumn("fetched_at", _day("f", F.col("page_id").cast("string"), 366))
-    return filter_urls(captures, demo_entries(pages)).select("page_id", "fetched_at", "host", "verdict", "rule", "list", "active_since")
+    out = filter_urls(captures, demo_entries(pages))
+    return out.select("page_id", F.col("fetched_at").cast("string").alias("fetched_at"), "host", "verdict", "rule", F.coalesce("list", F.lit("")).alias("list"), F.coalesce(F.col("active_since").cast("string"), F.lit("")).alias("active_since"))
 
 
 SQL = r"""
@@ -132,6 +133,6 @@ hit AS (
    AND ((s.kind = 'host' AND s.pattern = c.host)
      OR (s.kind = 'domain' AND (s.pattern = c.host OR ends_with(c.host, '.' || s.pattern)))
      OR (s.kind = 'path' AND starts_with(c.host || regexp_replace(c.path, '/+', '/', 'g') || '/', s.pattern || '/'))))
-SELECT c.page_id, CAST(c.fetched_at AS DATE) AS fetched_at, c.host, coalesce(h.verdict, 'pass') AS verdict, coalesce(h.kind || ':' || h.pattern, '') AS rule, h.list, CAST(h.d0 AS DATE) AS active_since
+SELECT c.page_id, CAST(CAST(c.fetched_at AS DATE) AS VARCHAR) AS fetched_at, c.host, coalesce(h.verdict, 'pass') AS verdict, coalesce(h.kind || ':' || h.pattern, '') AS rule, coalesce(h.list, '') AS list, coalesce(CAST(CAST(h.d0 AS DATE) AS VARCHAR), '') AS active_since
 FROM c LEFT JOIN hit h ON h.page_id = c.page_id AND h.k = 1
 """
