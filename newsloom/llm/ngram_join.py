@@ -9,14 +9,18 @@ ceil(80 * (|A| + |B|) / 180) go on to the exact comparison.
 Distributed form:
 
 1. Texts with one shingle set form a class, kept once (a partial aggregation, so copies cost nothing).
-2. Classes are routed to trees. Up to EXACT_SIZE shingles by prefix: the smallest
-   n - ceil(0.8 n) + 1 hashes, at least one of which linked texts share. From MINIMA_SIZE shingles by
-   group minima: the smallest hash in each of ROUTES of the 64 groups, equal with the probability of
-   the similarity in each, so that a link is missed with a probability of about 0.2 ** 20 = 1e-14.
-   The two ranges overlap by a factor of 1.25, the largest ratio of linked sizes.
-3. A tree with up to TREE members is searched with the bound; pairs that pass are reduced to a
+2. Shingles of very many documents (common lines and passages) are found by counting all shingles in
+   CELLS cells; a cell is common when its count is far above the mean.
+3. Classes are routed to trees. Up to EXACT_SIZE shingles by prefix: the first n - ceil(0.8 n) + 1
+   hashes, common ones last, at least one of which linked texts share. From MINIMA_SIZE shingles by
+   group minima: the smallest uncommon hash in each of ROUTES of the 64 groups, equal with the
+   probability of the similarity in each, so that a link is missed with a probability of about
+   0.2 ** 20 = 1e-14. Texts with a share of common shingles of over COMMON_SHARE are also routed by
+   the minima of all their shingles; with less, 0.58 of the uncommon ones are the same (1e-9 at
+   worst). The two ranges overlap by a factor of 1.25, the largest ratio of linked sizes.
+4. A tree with up to TREE members is searched with the bound; pairs that pass are reduced to a
    spanning forest. A larger tree's members all get an edge to its smallest member: no task holds it.
-4. Components of those edges are candidate groups. In each the sets are made anew from the text and
+5. Components of those edges are candidate groups. In each the sets are made anew from the text and
    compared exactly; pairs that are already connected need no comparison. Groups over BLOCK texts
    are cut into blocks: leaders of the blocks' components meet in further rounds, then every text
    outside the group's largest component is compared with the blocks of all other texts.
@@ -35,13 +39,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import components, cut, table
+from newsloom.llm.common import arrow_map, components, cut, table
 from newsloom.llm.shingles import mixed, shingle_sets
 
 PART, WHOLE = 80, 100
 GROUPS = 64
 MINIMA_SIZE, EXACT_SIZE, ROUTES = 115, 144, 24
-TREE, BLOCK, FANOUT = 256, 1500, 16
+TREE, BLOCK, FANOUT = 1024, 1500, 16
+ROUNDS = 4  # of leaders, while they at least halve
+CELLS, COMMON, COMMON_SHARE = 1 << 18, 1024, 0.4
 
 
 def needed(a, b):
@@ -72,15 +78,27 @@ def folded(p: np.ndarray, g: int) -> np.ndarray:
     return p.reshape(-1, g).sum(0, dtype=np.int64) if len(p) > g else p.astype(np.int64)
 
 
-def routes(s: np.ndarray) -> np.ndarray:
+def _minima(s: np.ndarray, salt: int) -> np.ndarray:
+    """The smallest hashes of the first ROUTES groups; an empty group gives the next group's, which routes as well."""
+    heads = s[np.minimum(np.searchsorted(s, np.arange(ROUTES, dtype=np.uint64) << np.uint64(58)), len(s) - 1)]
+    return mixed(np.unique(heads) ^ np.uint64(salt))
+
+
+def routes(s: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The keys of the trees that a set goes to; common: which cells hold common shingles."""
     n, out = len(s), []
-    if 0 < n <= EXACT_SIZE:
-        out.append(s[: n + PART * n // -WHOLE + 1])
+    if not n:
+        return np.array([], np.int64)
+    far = common[(s & np.uint64(CELLS - 1)).astype(np.int64)]
+    rare = s[~far]
+    if n <= EXACT_SIZE:
+        out.append(np.concatenate([rare, s[far]])[: n + PART * n // -WHOLE + 1])
     if n >= MINIMA_SIZE:
-        heads = s[np.minimum(np.searchsorted(s, np.arange(ROUTES, dtype=np.uint64) << np.uint64(58)), n - 1)]
-        # a group without members gives the next group's smallest hash, which routes as well
-        out.append(mixed(np.unique(heads)))
-    return np.concatenate(out).astype(np.int64, casting="unsafe") if out else np.array([], np.int64)
+        if len(rare):
+            out.append(_minima(rare, 1))
+        if n - len(rare) >= COMMON_SHARE * n:
+            out.append(_minima(s, 2))
+    return np.concatenate(out).astype(np.int64, casting="unsafe")
 
 
 def row_groups(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.Table]:
@@ -159,22 +177,54 @@ class CountTree:
         return self.order[self._open(p, size, at, self.points, self.sizes, self.sizes)]
 
 
-def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def common_cells(docs: DataFrame, text: str = "text", floor: int = COMMON) -> np.ndarray:
+    """Which cells hold shingles of very many documents. Each task sends one count a cell; CELLS counts reach the driver."""
+    part = CELLS >> 4
+
+    def run(batches):
+        total = np.zeros(CELLS, np.int64)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2048):
+                sets = shingle_sets(whole.slice(at, 2048).column(0))
+                if sets:
+                    total += np.bincount((np.concatenate(sets) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
+        if total.any():
+            yield pa.RecordBatch.from_arrays([pa.array(range(16), pa.int32()), pa.array([total[k * part : (k + 1) * part].astype("<u4").tobytes() for k in range(16)], pa.binary())], names=["k", "counts"])
+
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, x in zip(b.column("k").to_pylist(), b.column("counts").to_pylist(), strict=True):
+                sums[k] = sums.get(k, 0) + np.frombuffer(x, "<u4").astype(np.int64)
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["k", "counts"])
+
+    parts = arrow_map(docs.select(text), run, "k int, counts binary")
+    total = np.zeros(CELLS, np.int64)
+    for r in arrow_map(parts.repartition(16, "k"), add, "k int, counts binary").collect():
+        total[r["k"] * part : (r["k"] + 1) * part] += np.frombuffer(r["counts"], np.int64)
+    mean = total.mean()
+    return total > mean + 8 * mean**0.5 + floor
+
+
+def signatures(docs: DataFrame, common: np.ndarray, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n, s1, s2, keys, point): a set's size, its 128-bit sum, its routes and its group counts."""
+    packed = np.packbits(common).tobytes()
 
     def run(batches):
+        common = np.unpackbits(np.frombuffer(packed, np.uint8)).astype(bool)
         for whole in batches:
             for at in range(0, whole.num_rows, 2048):
                 b = whole.slice(at, 2048)
                 rows = []
                 for s in shingle_sets(b.column("text")):
                     m = mixed(s)
-                    rows.append((len(s), m.sum(dtype=np.uint64).astype(np.int64), mixed(m ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64), routes(s), point(s).tobytes() if len(s) else b""))
+                    rows.append((len(s), m.sum(dtype=np.uint64).astype(np.int64), mixed(m ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64), routes(s, common), point(s).tobytes() if len(s) else b""))
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(list(cols[3]), pa.list_(pa.int64())), pa.array(cols[4], pa.binary())], names=["doc_id", "n", "s1", "s2", "keys", "point"])
 
     light = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return light.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, keys array<long>, point binary")
+    return arrow_map(light, run, "doc_id long, n long, s1 long, s2 long, keys array<long>, point binary")
 
 
 def _bounded_pairs(starts, ends, sizes, points) -> tuple[np.ndarray, np.ndarray]:
@@ -240,7 +290,7 @@ def candidate_edges(reps: DataFrame, tree: int = TREE) -> DataFrame:
             pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1)[a != b], axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return arrow_map(dealt, run, "a long, b long").distinct()
 
 
 def exact_forest(ids: np.ndarray, sets: list[np.ndarray], part: np.ndarray | None = None, only: np.ndarray | None = None) -> list[tuple[int, int]]:
@@ -289,7 +339,7 @@ def _verify(dealt: DataFrame, key: list[str], tagged: bool = False) -> DataFrame
                     b.append(int(ids[j]))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return arrow_map(dealt, run, "a long, b long")
 
 
 def exact_edges(members: DataFrame, texts: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -317,7 +367,7 @@ def exact_edges(members: DataFrame, texts: DataFrame, block: int = BLOCK) -> Dat
         sized = cut(tops.join(tops.groupBy("comp").agg(F.count("*").alias("c")), "comp"))
         before, after = now.count(), sized.count()
         now, turn = sized, turn + 1
-        if after == before or now.where(F.col("c") > block).isEmpty():
+        if turn == ROUNDS or 2 * after > before or now.where(F.col("c") > block).isEmpty():
             break
     if turn and not now.where(F.col("c") > 1).isEmpty():
         links.append(_across(large, edges, block))
@@ -354,7 +404,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     class_id: the smallest id with the same shingle set; component_id: the smallest id that links reach.
     """
-    signed = cut(signatures(docs, doc_id, text))
+    signed = cut(signatures(docs, common_cells(docs, text), doc_id, text))
     known = signed.where("n > 0")
     reps = cut(known.groupBy("s1", "s2", "n").agg(F.min_by(F.struct("keys", "point"), "doc_id").alias("x"), F.min("doc_id").alias("rep")).select("s1", "s2", "n", "rep", "x.keys", "x.point"))
     rough = components(candidate_edges(reps, tree))
