@@ -46,6 +46,7 @@ PART, WHOLE = 80, 100
 GROUPS = 64
 MINIMA_SIZE, EXACT_SIZE, ROUTES = 115, 144, 24
 TREE, BLOCK, FANOUT = 1024, 1500, 16
+MAX_IDS = 500_000  # members of candidate groups that are broadcast to find their texts
 ROUNDS = 4  # of leaders, while they at least halve
 CELLS, COMMON, COMMON_SHARE = 1 << 18, 1024, 0.4
 
@@ -267,30 +268,24 @@ def _bounded_pairs(starts, ends, sizes, points) -> tuple[np.ndarray, np.ndarray]
 
 def candidate_edges(reps: DataFrame, tree: int = TREE) -> DataFrame:
     """(a, b): a forest over the pairs that share a route and pass the bound of their count vectors."""
-    posts = reps.select("rep", F.explode("keys").alias("key"))
+    # light rows alone are dealt by key, once for both sides of the join; most keys have one member
+    posts = reps.select("rep", F.explode("keys").alias("key")).repartition("key")
     sizes = posts.groupBy("key").agg(F.count("*").alias("c"), F.min("rep").alias("lead")).where("c > 1")
-    full = reps.select("rep", "n", "point", F.explode("keys").alias("key")).join(sizes, "key")
-    # members of large trees need no neighbours: they stay spread out
-    spread = F.when(F.col("c") > tree, F.xxhash64("rep", "key")).otherwise(F.col("key"))
-    dealt = full.withColumn("key", spread).withColumn("lead", F.when(F.col("c") > tree, F.col("lead"))).drop("c").repartition("key").sortWithinPartitions("key")
+    met = cut(posts.join(sizes, "key"))
+    stars = met.where(F.col("c") > tree).select(F.col("lead").alias("a"), F.col("rep").alias("b")).where("a <> b")
+    full = met.where(F.col("c") <= tree).select("key", "rep").join(reps.select("rep", "n", "point"), "rep")
+    dealt = full.select("key", "rep", "n", "point").repartition("key").sortWithinPartitions("key")
 
     def run(batches):
         for t in row_groups(batches, ["key"]):
-            rep, lead = t.column("rep").to_numpy(), t.column("lead")
-            star = np.array(lead.is_valid().combine_chunks() if isinstance(lead, pa.ChunkedArray) else lead.is_valid())
-            a, b = [lead.fill_null(0).to_numpy()[star]], [rep[star]]
-            rest = t.filter(pa.array(~star))
-            if rest.num_rows:
-                ids, n = rest.column("rep").to_numpy(), rest.column("n").to_numpy()
-                points = [np.frombuffer(x, "<u2") for x in rest.column("point").to_pylist()]
-                i, j = _bounded_pairs(*runs(rest.column("key").to_numpy()), n, points)
-                a.append(ids[i])
-                b.append(ids[j])
-            a, b = np.concatenate(a), np.concatenate(b)
+            ids, n = t.column("rep").to_numpy(), t.column("n").to_numpy()
+            points = [np.frombuffer(x, "<u2") for x in t.column("point").to_pylist()]
+            i, j = _bounded_pairs(*runs(t.column("key").to_numpy()), n, points)
+            a, b = ids[i], ids[j]
             pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1)[a != b], axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    return arrow_map(dealt, run, "a long, b long").distinct()
+    return arrow_map(dealt, run, "a long, b long").unionByName(stars).distinct()
 
 
 def exact_forest(ids: np.ndarray, sets: list[np.ndarray], part: np.ndarray | None = None, only: np.ndarray | None = None) -> list[tuple[int, int]]:
@@ -346,12 +341,18 @@ def exact_edges(members: DataFrame, texts: DataFrame, block: int = BLOCK) -> Dat
     """Exact links that connect the texts of each candidate group (rep, comp); texts: (rep, text)."""
     sizes = members.groupBy("comp").agg(F.count("*").alias("c"))
     members = cut(members.join(sizes, "comp"))
-    small = members.where(F.col("c") <= block).join(texts, "rep")
+    ids = members.count()
+
+    def with_text(rows: DataFrame) -> DataFrame:
+        """Texts of the members: found by a broadcast of ids of a checked number, else by a shuffle."""
+        return texts.join(F.broadcast(rows), "rep") if ids <= MAX_IDS else rows.join(texts, "rep")
+
+    small = with_text(members.where(F.col("c") <= block))
     found = cut(_verify(small.select("comp", "rep", "text").repartition("comp").sortWithinPartitions("comp"), ["comp"]))
     large = members.where(F.col("c") > block)
     if large.isEmpty():
         return found
-    large = cut(large.join(texts, "rep").select("comp", "rep", "c", "text"))
+    large = cut(with_text(large).select("comp", "rep", "c", "text"))
     turn, now, links = 0, large.select("comp", "rep", "c"), []
     while True:
         # blocks of a group's remaining leaders, dealt anew each round
