@@ -7,8 +7,8 @@ assign (a keyword, `:` or `=`, then a value of 6+ characters), access (`AKIA[A-Z
 The method adds spans of kind `markov`: tokens `[A-Za-z0-9+/_=-]` of 20+ characters with a letter and
 a digit, whose mean log-likelihood ratio between two first-order character models, of random strings
 and of ordinary identifiers, is at least THRESHOLD. Both models are counted from labelled samples
-(DataFrames of (token, random)); default_samples() makes 4 * SAMPLE_RANDOM random strings and takes
-the words of SAMPLE_DOCS documents, joined as identifiers are. Spans that touch a base span are
+(DataFrames of (token, random)); default_samples() makes 4 * SAMPLE_RANDOM random strings, and joins common words and
+the words of SAMPLE_DOCS documents as identifiers are. Spans that touch a base span are
 dropped: base spans stay.
 
 Everything runs as DataFrame expressions; the driver gets one row for each pair of characters.
@@ -33,6 +33,23 @@ THRESHOLD = 0.6  # nats a character pair
 SAMPLE_RANDOM, SAMPLE_DOCS = 2000, 400
 #: Characters of tokens lie between these code points.
 _LOW, _WIDE = 43, 80
+#: Weight of the single characters' frequencies in the pairs' ones.
+BACKOFF = 30.0
+# Common words of identifiers, next to the corpus's own words in the ordinary samples.
+COMMON = """account action active address after agent amount array average balance before block body border branch buffer build button cache
+center change channel check child class client color column command comment config connection content context control copy count country
+create current customer data database date default delete delivery depth description device display document domain double download
+element email empty enable entry error event example export factory field file filter first format frame function global group handler
+header height history home host image import index input insert instance integer item job key label language last layer layout left
+length level library limit line link list load local lock log login manager map market mask match max memory menu message method
+min mode model module month mouse name network node note number object offset option order output owner package page parent
+parse path pattern payment percent phone player point port position power prefix price print process product profile project
+property protocol public query queue random range rate read record region remote render report request reset resource response
+result return right role root row sample save scale schema scope screen script search section select sender sequence server service session
+set shape share signal size source space stack start state static status step stop storage stream string style submit summary support
+switch symbol system table target task template test text theme thread time title token tool total trace track transaction transfer tree
+trigger type unit update upload user valid value vector version video view visible volume week weight width window word worker wrap
+write year zone"""
 SPAN = "array<struct<start:int,kind:int,stop:int>>"
 
 
@@ -78,7 +95,11 @@ def default_samples(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
 
     plain = some.where(n > 2).select(F.explode(F.concat(F.col("w"), joined("_"), joined("-"), joined("/"), joined("", F.initcap), F.transform(joined("_"), F.upper))).alias("token"))
     dates = spark.range(SAMPLE_RANDOM).select(F.concat(F.lit("build-"), F.date_format(F.date_add(F.lit("2000-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd"), F.lit("-v"), F.col("id")).alias("token"))
-    return made.withColumn("random", F.lit(True)).unionByName(plain.unionByName(dates).withColumn("random", F.lit(False)))
+    known = F.array(*[F.lit(w) for w in COMMON.split()])
+    at = [F.pmod(F.xxhash64("id", F.lit(k)), F.size(known)).cast("int") for k in range(3)]
+    three = spark.range(4 * SAMPLE_RANDOM).select("id", F.array(*[F.get(known, a) for a in at]).alias("w"))
+    made_up = three.select(F.explode(F.array(F.array_join("w", "_"), F.array_join("w", "-"), F.array_join("w", "/"), F.array_join(F.transform("w", F.initcap), ""), F.upper(F.array_join("w", "_")), F.concat(F.array_join("w", "_"), F.lit("_"), F.pmod("id", F.lit(200))), F.concat(F.array_join(F.transform("w", F.initcap), ""), F.pmod("id", F.lit(30))))).alias("token"))
+    return made.withColumn("random", F.lit(True)).unionByName(plain.unionByName(dates).unionByName(made_up).withColumn("random", F.lit(False)))
 
 
 def _code(c: Column) -> Column:
@@ -86,7 +107,7 @@ def _code(c: Column) -> Column:
 
 
 def train(samples: DataFrame) -> list[float]:
-    """Log-likelihood ratios of all pairs of token characters, add-one smoothed."""
+    """Log-likelihood ratios of all pairs of token characters, smoothed by single characters' frequencies."""
     i = F.explode(F.sequence(F.lit(1), F.length("token") - 1))
     pairs = samples.where(F.length("token") > 1).where(~F.col("token").rlike("[^A-Za-z0-9+/_=-]")).select("random", "token", i.alias("i"))
     pairs = pairs.select("random", _code(F.substring("token", F.col("i"), F.lit(1))).alias("a"), _code(F.substring("token", F.col("i") + 1, F.lit(1))).alias("b"))
@@ -97,9 +118,10 @@ def train(samples: DataFrame) -> list[float]:
         counts[r["random"]][r["a"], r["b"]] = r["count"]
     symbols = sum(chr(_LOW + x).isalnum() or chr(_LOW + x) in "+/_=-" for x in range(_WIDE))
     rows = {k: [sum(c.get((a, b), 0) for b in range(_WIDE)) for a in range(_WIDE)] for k, c in counts.items()}
+    ones = {k: [(sum(c.get((a, b), 0) for a in range(_WIDE)) + 1) / (sum(c.values()) + symbols) for b in range(_WIDE)] for k, c in counts.items()}
 
     def p(k, a, b):
-        return (counts[k].get((a, b), 0) + 1) / (rows[k][a] + symbols)
+        return (counts[k].get((a, b), 0) + BACKOFF * ones[k][b]) / (rows[k][a] + BACKOFF)
 
     return [log(p(True, a, b) / p(False, a, b)) for a in range(_WIDE) for b in range(_WIDE)]
 

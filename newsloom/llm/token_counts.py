@@ -71,7 +71,7 @@ def count_tokens(fields: list[str], path: str = VOCABULARY) -> tuple[int, np.nda
     begin = int(borders[-2]) if len(borders) > 1 else 0
     body = fields[-1].encode("utf-8", "replace")
     feeds = np.flatnonzero(np.frombuffer(body, np.uint8) == 10) + 1
-    lines = np.append(feeds, len(body)) if not len(feeds) or feeds[-1] < len(body) else feeds
+    lines = feeds if not body or body.endswith(b"\n") else np.append(feeds, len(body))
     per_line = attributed(ends, np.append(begin, begin + lines))[1:]
     # tokens that the field rule gave to earlier fields stay there: the first line takes the difference
     if len(per_line):
