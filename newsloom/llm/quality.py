@@ -2,7 +2,7 @@
 
 Two logistic models, of poor quality and of toxicity, are trained on at most SAMPLE labelled rows
 (those of the smallest id hashes, a documented bound); their features are shares of character kinds,
-repetition and hashed words of the whole text. Every document's probability is evidence.
+repetition, and chosen words and beginnings of words of the whole text. Every document's probability is evidence.
 
 Sites have two levels, host (`source`) and path (`source`, `lang`). Grouped sums of the evidence give
 each level's mean; a beta prior, whose strength comes from the spread of the level's means by the
@@ -27,10 +27,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from newsloom.llm.common import arrow_map, cut, table, without
-from newsloom.llm.shingles import _words
+from newsloom.llm.shingles import _words, mixed, shingle_sets
 
 SAMPLE = 6000
-WORDS = 1 << 16
+SURE = 5.5
+STEMS = (4, 5)  # bytes of the beginnings of words that are features
 WEIGHT = 0.3
 #: Sites are broadcast up to this many paths; above, they join by a shuffle.
 MAX_PATHS = 200_000
@@ -39,63 +40,95 @@ _KINDS = [np.array([chr(b) in group for b in range(256)]) for group in ("ABCDEFG
 N_DENSE = len(_KINDS) + 5
 
 
+def _beginnings(folded: np.ndarray, begins: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the first k bytes of all longer words: words of one stem share them."""
+    begins = begins[begins + k < len(folded)]
+    first = [folded[begins + i].astype(np.uint64) for i in range(k)]
+    whole = np.logical_and.reduce([f != 32 for f in first]) if len(begins) else np.zeros(0, bool)
+    code = sum(f << np.uint64(8 * i) for i, f in enumerate(first))[whole] if len(begins) else np.zeros(0, np.uint64)
+    return mixed(np.unique(code) ^ np.uint64(k << 56))
+
+
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Dense features, and the hashed distinct words of all texts with the bounds of each text."""
+    """Dense features, and the hashes of all texts' distinct words and beginnings with the bounds of each text."""
     texts = texts.cast(pa.large_string()).fill_null("")
     n = len(texts)
-    dense, ids, bounds = np.zeros((n, N_DENSE)), [], [0]
+    dense, words, bounds = np.zeros((n, N_DENSE)), [], [0]
     for i in range(n):
         raw = np.frombuffer(texts[i].as_buffer(), np.uint8)
         size = max(len(raw), 1)
-        begins, h = _words(_FOLD[raw], np.array([0, len(raw)])) if len(raw) else (np.zeros(0, int), np.zeros(0, np.uint64))
+        folded = _FOLD[raw]
+        begins, h = _words(folded, np.array([0, len(raw)])) if len(raw) else (np.zeros(0, int), np.zeros(0, np.uint64))
         uniq = np.unique(h)
         shares = np.bincount(raw, minlength=256) / size
         most = int((h[1:] == h[:-1]).sum()) / max(len(h) - 1, 1) if len(h) else 0.0
         dense[i] = [*[min(shares[k].sum() * 10, 3.0) for k in _KINDS], len(uniq) / max(len(h), 1), 3 * most, min(size / max(len(h), 1), 20) / 10, np.log1p(len(h)) / 10, 3.0 * (len(h) < 5)]
-        mine = np.unique((uniq & np.uint64(WORDS - 1)).astype(np.int64))
-        ids.append(mine)
-        bounds.append(bounds[-1] + len(mine))
-    return dense, np.concatenate(ids) if ids else np.zeros(0, np.int64), np.array(bounds)
+        uniq = np.concatenate([uniq, *(_beginnings(folded, begins, k) for k in STEMS)])
+        words.append(uniq)
+        bounds.append(bounds[-1] + len(uniq))
+    return dense, np.concatenate(words) if words else np.zeros(0, np.uint64), np.array(bounds)
 
 
 class Model:
-    """Logistic regression on dense features and hashed words."""
+    """Logistic regression on dense features and on the words that differ most surely between the classes.
+
+    A word is used when its share of texts differs by SURE standard errors; this leaves out the many
+    words that a sample knows from one text and its copies.
+    """
 
-    def __init__(self, dense, words, bounds, y, l2_dense=1e-4, l2_words=2e-3, steps=250):
-        self.mean, self.std = dense.mean(0), dense.std(0) + 1e-6
-        self.b, self.w, self.v = 0.0, np.zeros(dense.shape[1]), np.zeros(WORDS)
-        rate = (y.sum() + 1) / (len(y) + 2)
+    def __init__(self, dense, words, bounds, y, l2=1e-4, steps=500):
+        self.mean, self.std = dense.mean(0), dense.std(0) + 1e-3
+        self.w, self.v, self.keys = np.zeros(dense.shape[1]), np.zeros(0), np.zeros(0, np.uint64)
+        n, yes = len(y), y.sum()
+        rate = (yes + 1) / (n + 2)
         self.b = float(np.log(rate / (1 - rate)))
-        if not 0 < y.sum() < len(y):
+        if not 0 < yes < n:
             return
-        x, row = (dense - self.mean) / self.std, np.repeat(np.arange(len(y)), np.diff(bounds))
-        # words of few texts say nothing and are left at zero
-        often = np.bincount(words, minlength=WORDS) >= 5
-        keep = often[words]
-        row, words = row[keep], words[keep]
-        m = [np.zeros(1), np.zeros_like(self.w), np.zeros_like(self.v)]
-        s = [np.zeros(1), np.zeros_like(self.w), np.zeros_like(self.v)]
-        weight = np.where(y > 0, 0.5 / rate, 0.5 / (1 - rate)) ** 0.5
+        row = np.repeat(np.arange(n), np.diff(bounds))
+        keys, at = np.unique(words, return_inverse=True)
+        a, b = np.bincount(at, y[row], len(keys)), np.bincount(at, 1 - y[row], len(keys))
+        p = (a + b + 1) / (n + 2)
+        z = (a / yes - b / (n - yes)) / np.sqrt(p * (1 - p) * (1 / yes + 1 / (n - yes)))
+        self.keys = keys[(np.abs(z) > SURE) & (a + b >= 4)]
+        x = np.hstack([(dense - self.mean) / self.std, self._present(words, row, n)])
+        w, m, s = np.zeros(x.shape[1]), np.zeros(x.shape[1] + 1), np.zeros(x.shape[1] + 1)
         for t in range(1, steps + 1):
-            z = self.b + x @ self.w + np.bincount(row, self.v[words], len(y))
-            r = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y)
-            grads = [np.array([r.sum()]), x.T @ r + l2_dense * self.w, np.bincount(words, r[row], WORDS) + l2_words / len(y) ** 0.5 * self.v]
-            for i, g in enumerate(grads):
-                m[i] = 0.9 * m[i] + 0.1 * g
-                s[i] = 0.99 * s[i] + 0.01 * g * g
-                d = 0.1 * (m[i] / (1 - 0.9**t)) / (np.sqrt(s[i] / (1 - 0.99**t)) + 1e-8)
-                if i == 0:
-                    self.b -= float(d[0])
-                elif i == 1:
-                    self.w -= d
-                else:
-                    self.v -= np.where(often, d, 0)
+            r = (1 / (1 + np.exp(-np.clip(self.b + x @ w, -30, 30))) - y) / n
+            g = np.append(x.T @ r + l2 * w, r.sum())
+            m, s = 0.9 * m + 0.1 * g, 0.99 * s + 0.01 * g * g
+            d = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.99**t)) + 1e-8)
+            w, self.b = w - d[:-1], self.b - float(d[-1])
+        self.w, self.v = w[: dense.shape[1]], w[dense.shape[1] :]
+
+    def _found(self, words) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(self.keys, words), max(len(self.keys) - 1, 0))
+        return at, self.keys[at] == words if len(self.keys) else np.zeros(len(words), bool)
+
+    def _present(self, words, row, n) -> np.ndarray:
+        at, hit = self._found(words)
+        x = np.zeros((n, len(self.keys)))
+        x[row[hit], at[hit]] = 1
+        return x
 
     def logit(self, dense, words, bounds) -> np.ndarray:
-        sums = np.append(0, np.cumsum(self.v[words]))
+        at, hit = self._found(words)
+        sums = np.append(0, np.cumsum(np.where(hit, self.v[at] if len(self.v) else 0.0, 0.0)))
         return np.clip(self.b + ((dense - self.mean) / self.std) @ self.w + sums[bounds[1:]] - sums[bounds[:-1]], -12, 12)
 
 
+def _originals(texts: pa.Array) -> np.ndarray:
+    """False for texts that share one of three smallest shingles with an earlier one: a text and its
+    copies would else make all of its words look sure."""
+    keep, seen = np.ones(len(texts), bool), [set(), set(), set()]
+    for i, s in enumerate(shingle_sets(texts)):
+        if len(s):
+            heads = int(s[0]), int(mixed(s).min()), int(mixed(~s).min())
+            keep[i] = not any(h in known for h, known in zip(heads, seen, strict=True))
+            for h, known in zip(heads, seen, strict=True):
+                known.add(h)
+    return keep
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Model, Model]:
     """Models of poor quality and of toxicity from a bounded sample of labelled rows."""
     chosen = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
@@ -103,6 +136,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Mod
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "quality", "toxic").toArrow()
     if not rows.num_rows:
         rows = pa.table({"text": [""], "quality": [1], "toxic": [0]})
+    rows = rows.filter(pa.array(_originals(rows.column("text").combine_chunks())))
     f = features(rows.column("text").combine_chunks())
     bad = (rows.column("quality").to_numpy() == 0).astype(float)
     toxic = (rows.column("toxic").to_numpy() == 1).astype(float)
