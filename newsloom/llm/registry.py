@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from newsloom.llm import decontaminate, fingerprints, html_extract, mixing, ngram_join, quality, secrets_scan, sharding, token_counts, url_filters
+from newsloom.llm import decontaminate, fingerprints, html_extract, mixing, ngram_join, quality, secrets_scan, sharding, sql, token_counts, url_filters
 
 
 def queries() -> dict:
@@ -22,5 +22,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_ngram_jaccard_join": sql.NGRAM_JOIN,
         "op2_url_filters": url_filters.SQL,
+        "op3_benchmark_decontamination": sql.DECONTAMINATION,
     }
