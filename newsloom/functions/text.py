@@ -14,13 +14,27 @@ def normalised(text: Column) -> Column:
 
 
 def digits(text: Column) -> Column:
-    return F.length(F.regexp_replace(text, f"[^{L.DIGIT}]", ""))
+    return F.regexp_count(text, F.lit(f"[{L.DIGIT}]")).cast("int")
 
 
 def has(text: Column, name: str) -> Column:
     return text.rlike(L.java(name))
 
 
+#: Characters that match an ASCII letter when case is ignored, but whose lower case is another one.
+ODD_CASE = "ſKİı"
+
+
+def has_any(text: Column, name: str) -> Column:
+    """has() for a pattern of alternatives that start with plain text: a search for those starts comes first."""
+    starts = sorted({a.removeprefix(r"\b").split("\\")[0].lower() for a in getattr(L, name).split("|")})
+    low = F.lower(text)
+    maybe = F.lit(False)
+    for x in [*starts, *ODD_CASE]:
+        maybe = maybe | F.contains(low if x not in ODD_CASE else text, F.lit(x))
+    return maybe & has(text, name)
+
+
 def occurrences(text: Column, name: str) -> Column:
     return F.regexp_count(text, F.lit(L.java(name))).cast("int")
 

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.functions.text import digits, has, let, normalised, occurrences, sentences
+from newsloom.functions.text import digits, has, has_any, let, normalised, occurrences, sentences
 from newsloom.functions import lexicon as L
 
 
@@ -116,7 +116,7 @@ def junk_features(articles: DataFrame, text: str = "text") -> DataFrame:
     norm = articles.withColumn(text, F.coalesce(F.col(text), F.lit(""))).withColumn("norm", normalised(F.col(text)))
     t = F.col("norm")
     return norm.withColumns({
-        "n_norm": F.length(t), "is_spam": has(t, "SPAM"), "n_digits": digits(t), "n_dated": occurrences(t, "DATE_HEAD"),
+        "n_norm": F.length(t), "is_spam": has_any(t, "SPAM"), "n_digits": digits(t), "n_dated": occurrences(t, "DATE_HEAD"),
         "n_flu": occurrences(t, "FLU"), "n_animal": occurrences(t, "ANIMAL_TERMS")})
 
 

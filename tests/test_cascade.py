@@ -73,6 +73,12 @@ def test_patterns_agree_with_the_other_language(spark):
         assert [r[n] for r in got] == [bool(p.search(t)) for t in texts], n
 
 
+def test_search_by_starts_finds_the_same(spark):
+    texts = SAMPLES + PHRASES + ["CASıNO", "CaSiNo", "a CFD b", "aCFDb", "PORN star", "porno", "xem trực nothing", "caſino", "access denied", "Access  denied"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(X.has(F.col("t"), "SPAM").alias("a"), X.has_any(F.col("t"), "SPAM").alias("b")).collect()
+    assert [r["a"] for r in rows] == [r["b"] for r in rows] and sum(r["a"] for r in rows) >= 7
+
+
 def test_sentences_digits_and_spaces(spark):
     texts = ["One. Two!  Three?\n\nFour", "a.b. c", "", " \n ", "x\x1cy.\x85z", "² ١٢ 12 ①"]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
