@@ -7,6 +7,7 @@ last return the columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from newsloom.llm import decontaminate, mixing, ngram_join, quality, sharding
 from newsloom.llm.common import cut, table
@@ -23,8 +24,11 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the benchmark's passages."""
-    return decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), keep="clean").select(*docs.columns)
+    """Documents without the benchmark's passages: those that are mostly benchmark go, the others lose the passages."""
+    clean = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), keep="clean", scrub=True)
+    if "n_chars" in docs.columns:
+        clean = clean.withColumn("n_chars", F.when(F.col("n_hit") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return clean.select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -122,10 +122,11 @@ def _chunks(items: DataFrame, item_id: str, item_text: str, limit: int) -> Itera
 
 
 def contamination(docs: DataFrame, items: DataFrame, doc_text: str = "text", item_id: str = "item_id", item_text: str = "text",
-                  carry: list[str] | None = None, keep: str = "all", limit: int = MAX_WINDOW_CHARS) -> DataFrame:
+                  carry: list[str] | None = None, keep: str = "all", scrub: bool = False, limit: int = MAX_WINDOW_CHARS) -> DataFrame:
     """The carried columns with n_words, n_hit, n_items, item_ids, items_sha256, spans and contaminated.
 
     spans: ranges of code points of the original text, end exclusive. keep: all, or clean rows alone.
+    scrub: take the spans out of the texts of rows that are not contaminated as a whole.
     The items go to the executors in automata of a checked size; what is over takes another pass.
     """
     spark = docs.sparkSession
@@ -138,13 +139,13 @@ def contamination(docs: DataFrame, items: DataFrame, doc_text: str = "text", ite
     parts = list(_chunks(items, item_id, item_text, limit))
     got = docs
     for k, part in enumerate(parts):
-        got = _pass(got, spark.sparkContext.broadcast(part), doc_text, k == 0, added if k == len(parts) - 1 else None, carry, keep)
+        got = _pass(got, spark.sparkContext.broadcast(part), doc_text, k == 0, added if k == len(parts) - 1 else None, carry, keep, scrub)
         if k < len(parts) - 1:
             got = cut(got)
     return got
 
 
-def _pass(docs: DataFrame, broadcast, doc_text: str, first: bool, added: T.StructType | None, carry: list[str], keep: str) -> DataFrame:
+def _pass(docs: DataFrame, broadcast, doc_text: str, first: bool, added: T.StructType | None, carry: list[str], keep: str, scrub: bool) -> DataFrame:
     ref = _Ref(broadcast)
     ranges_type, ids_type = pa.list_(pa.int64()), pa.list_(pa.int64())
     state = T.StructType([T.StructField("_ranges", T.ArrayType(T.LongType())), T.StructField("_ids", T.ArrayType(T.LongType()))])
@@ -176,6 +177,13 @@ def _pass(docs: DataFrame, broadcast, doc_text: str, first: bool, added: T.Struc
                 more = [pa.array([n for n, _, _ in found], pa.int64()), pa.array(hit, pa.int64()), pa.array([len(i) for _, _, i in found], pa.int64()),
                         pa.array([sorted(i) for _, _, i in found], ids_type), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in names], pa.string()),
                         pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(bad, pa.bool_())]
+                if scrub and doc_text in out:
+                    texts = b.column(doc_text).to_pylist()
+                    for i, ranges in enumerate(spans):
+                        if ranges and not bad[i]:
+                            edges = [0, *(x for r in ranges for x in r), len(texts[i])]
+                            texts[i] = "".join(texts[i][x:y] for x, y in zip(edges[::2], edges[1::2], strict=True))
+                    arrays[out.index(doc_text)] = pa.array(texts, b.schema.field(doc_text).type)
                 ready = pa.RecordBatch.from_arrays([*arrays, *more], names=[*out, *added.names])
                 yield ready.filter(pa.array([not x for x in bad])) if keep == "clean" else ready
 

@@ -58,6 +58,16 @@ def test_clean_rows_alone(case):
     assert kept == {i for i, t in enumerate(texts) if not brute(t, rows)[4]}
 
 
+def test_scrubbed_texts_hold_no_window(case):
+    docs, items, texts, rows = case
+    long = "x " * 300 + texts[2] + ", y " * 40 + "short é item" + " z" * 300
+    more = docs.unionByName(docs.sparkSession.createDataFrame([(100, long, 1)], docs.schema))
+    kept = {r["doc_id"]: r["text"] for r in D.contamination(more, items, keep="clean", scrub=True).collect()}
+    assert kept[100] == "x " * 300 + ", y " * 40 + " z" * 300
+    assert all(kept[i] == texts[i] for i in kept if i < 100 and brute(texts[i], rows)[1] == 0)
+    assert all(brute(t, rows)[1] == 0 for i, t in kept.items() if i != 100)
+
+
 def test_empty_tables(case):
     docs, items, *_ = case
     assert D.contamination(docs.limit(0), items).count() == 0
