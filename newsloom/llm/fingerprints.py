@@ -64,9 +64,10 @@ def _bucketed(docs: DataFrame, doc_id: str, rows: int) -> tuple[DataFrame, int]:
     n = min(SPLITTERS, wanted)
     inner = -(-wanted // n)
     cuts = sorted(set(docs.agg(F.percentile_approx(doc_id, [k / n for k in range(n + 1)], 10_000)).first()[0] or [0]))
-    lows, highs = F.array(*[F.lit(x) for x in cuts]), F.array(*[F.lit(x) for x in [*cuts[1:], cuts[-1] + 1]])
+    lows, highs = F.array(*[F.lit(x) for x in cuts]), F.array(*[F.lit(x) for x in [*cuts[1:], min(cuts[-1] + 1, (1 << 63) - 1)]])
     r = F.greatest(F.size(F.filter(lows, lambda x: x <= F.col(doc_id))), F.lit(1))
-    share = (F.col(doc_id) - F.element_at(lows, r)) / F.greatest(F.element_at(highs, r) - F.element_at(lows, r), F.lit(1))
+    low, high, at = F.element_at(lows, r).cast("double"), F.element_at(highs, r).cast("double"), F.col(doc_id).cast("double")
+    share = (at - low) / F.greatest(high - low, F.lit(1.0))
     part = F.least(F.greatest(F.floor(share * inner), F.lit(0)), F.lit(inner - 1)) if inner > 1 else F.lit(0)
     return docs.withColumn("_bucket", (r * inner + part).cast("long")), wanted
 
