@@ -54,10 +54,29 @@ def python_path(spark: SparkSession) -> None:
         environment["PYTHONPATH"] = os.pathsep.join(x for x in (home, environment.get("PYTHONPATH", "")) if x)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers are kept for later tasks, and so is what they hold."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc alone
+    if trim:
+        trim(0)
+
+
 def arrow_map(df: DataFrame, run, schema) -> DataFrame:
-    """df.mapInArrow(run), where workers find this package."""
+    """df.mapInArrow(run), where workers find this package and give memory back after each task."""
     python_path(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    def whole(batches):
+        yield from run(batches)
+        give_back()
+
+    return df.mapInArrow(whole, schema)
 
 
 def without(df: DataFrame, *names: str) -> DataFrame:
@@ -66,16 +85,16 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() in taken])
 
 
-def running(df: DataFrame, key: list[str], order: list[Column], sums: dict[str, Column], per_bucket: int = 50_000, rows: int | None = None) -> DataFrame:
+def running(df: DataFrame, key: list[str], order: list[Column], sums: dict[str, Column], buckets: Column | None = None, per_bucket: int = 500) -> DataFrame:
     """Exclusive running sums of `sums` within `key`, without a task that holds a whole key.
 
     Rows are spread over hash buckets of the order's first columns; each bucket is summed in its own
     window, and the bucket totals (one row a bucket and key) are summed in a second, small window.
     The order within a key is (bucket, order), the same at each run. Adds one column per entry.
+    buckets: how many a row's key has, best in proportion to its rows; else one for per_bucket rows of df.
     """
-    rows = df.count() if rows is None else rows
-    n = max(1, -(-rows // per_bucket))
-    df = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(n)).cast("int"))
+    buckets = F.lit(max(1, -(-df.count() // per_bucket))) if buckets is None else buckets
+    df = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), buckets).cast("int"))
     inner = Window.partitionBy(*key, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     outer = Window.partitionBy(*key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = df.groupBy(*key, "_bucket").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])

@@ -29,6 +29,7 @@ WEIGHTS = (3, 1, 2)
 SHARE, MOST = 1.5, 2.0
 BLOCK = 256  # words
 SHARD_WORDS = 1 << 20
+BUCKET = 500  # documents of a source that are summed in one window
 #: The sources' totals reach the driver, one row a source; more sources than this are refused.
 MAX_SOURCES = 200_000
 _EXACT = 900_000_000  # numpy draws hypergeometric numbers up to here; larger ones are drawn as normal
@@ -124,10 +125,10 @@ class Mix:
         self.blocks = np.array([-(-s // block) for s in sizes], np.int64)
         per = [s / b if b else 1.0 for s, b in zip(sizes, self.blocks, strict=True)]
         self.slots = np.array([min(int(most * b), round(t / p)) for t, b, p in zip(self.target, self.blocks, per, strict=True)], np.int64)
-        rows = [(i, r["source"], int(r["size"]), float(t)) for i, (r, t) in enumerate(zip(found, self.target, strict=True))]
-        self.sources = spark.createDataFrame(rows, "s int, source string, source_size long, target double")
-        mine = sized.join(F.broadcast(self.sources), sized["source"].eqNullSafe(self.sources["source"])).select("doc_id", "size", "tie", "s", "source_size", "target")
-        self.packed = cut(running(mine, ["s"], [F.col("doc_id"), F.col("tie")], {"start": F.col("size")}, rows=sum(r["rows"] for r in found)))
+        rows = [(i, r["source"], int(r["size"]), float(t), -(-r["rows"] // BUCKET)) for i, (r, t) in enumerate(zip(found, self.target, strict=True))]
+        self.sources = spark.createDataFrame(rows, "s int, source string, source_size long, target double, buckets int")
+        mine = sized.join(F.broadcast(self.sources), sized["source"].eqNullSafe(self.sources["source"])).select("doc_id", "size", "tie", "s", "source_size", "target", "buckets")
+        self.packed = cut(running(mine, ["s"], [F.col("doc_id"), F.col("tie")], {"start": F.col("size")}, buckets=F.col("buckets")).drop("buckets"))
 
     def slot_table(self) -> DataFrame:
         """(shard, slot, s, block): one row a slot of the output."""
