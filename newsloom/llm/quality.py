@@ -31,6 +31,7 @@ from newsloom.llm.shingles import _words, mixed, shingle_sets
 
 SAMPLE = 6000
 SURE = 5.5
+MIN_TEXTS = 4
 STEMS = (4, 5)  # bytes of the beginnings of words that are features
 WEIGHT = 0.3
 #: Sites are broadcast up to this many paths; above, they join by a shuffle.
@@ -76,7 +77,8 @@ class Model:
     words that a sample knows from one text and its copies.
     """
 
-    def __init__(self, dense, words, bounds, y, l2=1e-4, steps=500):
+    def __init__(self, dense, keys, at, row, y, l2=1e-4, steps=500):
+        """keys: the words, sorted; at and row: for each word of a text, its number and its text's."""
         self.mean, self.std = dense.mean(0), dense.std(0) + 1e-3
         self.w, self.v, self.keys = np.zeros(dense.shape[1]), np.zeros(0), np.zeros(0, np.uint64)
         n, yes = len(y), y.sum()
@@ -84,13 +86,15 @@ class Model:
         self.b = float(np.log(rate / (1 - rate)))
         if not 0 < yes < n:
             return
-        row = np.repeat(np.arange(n), np.diff(bounds))
-        keys, at = np.unique(words, return_inverse=True)
         a, b = np.bincount(at, y[row], len(keys)), np.bincount(at, 1 - y[row], len(keys))
         p = (a + b + 1) / (n + 2)
         z = (a / yes - b / (n - yes)) / np.sqrt(p * (1 - p) * (1 / yes + 1 / (n - yes)))
-        self.keys = keys[(np.abs(z) > SURE) & (a + b >= 4)]
-        x = np.hstack([(dense - self.mean) / self.std, self._present(words, row, n)])
+        sure = np.abs(z) > SURE
+        self.keys = keys[sure]
+        x = np.zeros((n, dense.shape[1] + len(self.keys)), np.float32)
+        x[:, : dense.shape[1]] = (dense - self.mean) / self.std
+        hit = sure[at]
+        x[row[hit], dense.shape[1] + (np.cumsum(sure) - 1)[at[hit]]] = 1
         w, m, s = np.zeros(x.shape[1]), np.zeros(x.shape[1] + 1), np.zeros(x.shape[1] + 1)
         for t in range(1, steps + 1):
             r = (1 / (1 + np.exp(-np.clip(self.b + x @ w, -30, 30))) - y) / n
@@ -104,12 +108,6 @@ class Model:
         at = np.minimum(np.searchsorted(self.keys, words), max(len(self.keys) - 1, 0))
         return at, self.keys[at] == words if len(self.keys) else np.zeros(len(words), bool)
 
-    def _present(self, words, row, n) -> np.ndarray:
-        at, hit = self._found(words)
-        x = np.zeros((n, len(self.keys)))
-        x[row[hit], at[hit]] = 1
-        return x
-
     def logit(self, dense, words, bounds) -> np.ndarray:
         at, hit = self._found(words)
         sums = np.append(0, np.cumsum(np.where(hit, self.v[at] if len(self.v) else 0.0, 0.0)))
@@ -137,7 +135,15 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Mod
     if not rows.num_rows:
         rows = pa.table({"text": [""], "quality": [1], "toxic": [0]})
     rows = rows.filter(pa.array(_originals(rows.column("text").combine_chunks())))
-    f = features(rows.column("text").combine_chunks())
+    dense, words, bounds = features(rows.column("text").combine_chunks())
+    # words of fewer than MIN_TEXTS texts are never sure: most words go here
+    keys, counts = np.unique(words, return_counts=True)
+    keys = keys[counts >= MIN_TEXTS]
+    at = np.minimum(np.searchsorted(keys, words), max(len(keys) - 1, 0)).astype(np.int32)
+    known = keys[at] == words if len(keys) else np.zeros(len(words), bool)
+    row = np.repeat(np.arange(len(dense), dtype=np.int32), np.diff(bounds))[known]
+    f = dense, keys, at[known], row
+    del words, counts
     bad = (rows.column("quality").to_numpy() == 0).astype(float)
     toxic = (rows.column("toxic").to_numpy() == 1).astype(float)
     return Model(*f, bad), Model(*f, toxic)
