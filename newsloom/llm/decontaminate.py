@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from newsloom.llm.common import arrow_map, cut
+from newsloom.llm.common import arrow_map, cut, table
 
 WINDOW = 13
 #: Characters of all windows in one automaton (about 50 bytes of memory each); more items take more passes.
@@ -191,10 +191,6 @@ def _pass(docs: DataFrame, broadcast, doc_text: str, first: bool, added: T.Struc
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
-    from newsloom.llm.common import table
-
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     return contamination(docs, items, carry=["doc_id"]).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
-
-__all__ = ["contamination", "op3", "windows", "words"]

@@ -80,7 +80,7 @@ def page_features(nodes, texts) -> np.ndarray:
         marks[u] += marks[k]
         blocks[u] += blocks[k]
         size[u] += size[k]
-    whole, place, before = max(below[0], 1), [0] * n, 0
+    whole, place = max(below[0], 1), [0] * n
     children: list[list[int]] = [[] for _ in range(n)]
     for k in range(1, n):
         children[up[k]].append(k)

@@ -53,11 +53,6 @@ write year zone"""
 SPAN = "array<struct<start:int,kind:int,stop:int>>"
 
 
-def _let(value: Column, f) -> Column:
-    """f(value) with value computed once."""
-    return F.element_at(F.transform(F.array(value), f), 1)
-
-
 def _spans(text: Column, pattern: str, kind: int, ok=None) -> Column:
     """Places of a pattern's matches: the text between matches and the matches alternate, so their lengths add up to places.
 
