@@ -110,21 +110,22 @@ def running(df: DataFrame, key: list[str], order: list[Column], sums: dict[str,
 def components(edges: DataFrame) -> DataFrame:
     """(v, comp) for each vertex of edges (a, b): comp is the smallest vertex that it reaches.
 
-    Each round points every vertex at its smallest neighbour, follows those pointers eight steps and
-    contracts the graph; local minima alone remain, so the vertices at least halve. All steps are
-    joins and aggregations on vertex keys; each round is written to the shared folder.
+    Each round points every vertex at its smallest neighbour, follows those pointers, doubling, to their
+    ends and contracts the graph; local minima alone remain, so the vertices at least halve. All steps
+    are joins and aggregations on vertex keys; each is written to the shared folder.
     """
     pairs = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = cut(pairs)
     labels = None
-    while True:
+    while not pairs.isEmpty():
         both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         up = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("p")))
-        if up.isEmpty():
-            break
-        for _ in range(3):
+        moved = True
+        while moved:
             far = up.select(F.col("a").alias("p"), F.col("p").alias("q"))
-            up = cut(up.join(far, "p").select("a", F.col("q").alias("p")))
+            jumped = cut(up.join(far, "p").select("a", F.col("q").alias("p"), (F.col("q") != F.col("p")).alias("moved")))
+            moved = not jumped.where("moved").isEmpty()
+            up = jumped.select("a", "p")
         if labels is None:
             labels = up.select(F.col("a").alias("v"), F.col("p").alias("comp"))
         else:

@@ -38,6 +38,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from newsloom.llm.common import arrow_map, components, cut, table
 from newsloom.llm.shingles import mixed, shingle_sets
@@ -313,7 +314,10 @@ def exact_forest(ids: np.ndarray, sets: list[np.ndarray], part: np.ndarray | Non
 
 
 def _verify(dealt: DataFrame, key: list[str], tagged: bool = False) -> DataFrame:
-    """(a, b): exact links inside each run of key; tagged rows carry part and side (1: wanted, 0: only as partner)."""
+    """(a, b): for each run of key, the smallest member and another of each component of its exact links.
+
+    tagged rows carry part and side (1: wanted, 0: only as partner) and give the links between parts.
+    """
 
     def run(batches):
         for t in row_groups(batches, key):
@@ -329,7 +333,13 @@ def _verify(dealt: DataFrame, key: list[str], tagged: bool = False) -> DataFrame
                 sets = shingle_sets(one.column("text"))
                 part = one.column("part").to_numpy() if tagged else None
                 only = one.column("side").to_numpy() == 1 if tagged else None
-                for i, j in exact_forest(ids, sets, part, only):
+                links = exact_forest(ids, sets, part, only)
+                if not tagged:
+                    forest = Forest(len(ids))
+                    for i, j in links:
+                        forest.join(i, j)
+                    links = [(forest.top(j), j) for j in range(len(ids)) if forest.top(j) != j]
+                for i, j in links:
                     a.append(int(ids[i]))
                     b.append(int(ids[j]))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -353,36 +363,30 @@ def exact_edges(members: DataFrame, texts: DataFrame, block: int = BLOCK) -> Dat
     if large.isEmpty():
         return found
     large = cut(with_text(large).select("comp", "rep", "c", "text"))
-    turn, now, links = 0, large.select("comp", "rep", "c"), []
-    while True:
-        # blocks of a group's remaining leaders, dealt anew each round
-        blocks = F.ceil(F.col("c") / block)
-        dealt = now.withColumn("k", F.pmod(F.xxhash64("rep", F.lit(turn)), blocks)).join(large.select("rep", "text"), "rep")
+    now, links = large.select("comp", "rep", "c"), []
+    before = now.agg(F.count("*").alias("n"), F.max("c").alias("c")).first()
+    for turn in range(ROUNDS):
+        # blocks of a group's remaining leaders, dealt anew each round; who hangs on a leader drops out
+        dealt = now.withColumn("k", F.pmod(F.xxhash64("rep", F.lit(turn)), F.ceil(F.col("c") / block))).join(large.select("rep", "text"), "rep")
         got = cut(_verify(dealt.select("comp", "k", "rep", "text").repartition("comp", "k").sortWithinPartitions("comp", "k"), ["comp", "k"]))
         links.append(got)
+        tops = now.select("comp", "rep").join(got.select(F.col("b").alias("rep")), "rep", "left_anti")
+        now = cut(tops.withColumn("c", F.count("*").over(Window.partitionBy("comp"))))
+        sizes = now.agg(F.count("*").alias("n"), F.max("c").alias("c")).first()
+        if sizes["c"] == 1 or before["c"] <= block or 2 * sizes["n"] > before["n"]:
+            break
+        before = sizes
+    # one leader left, all are connected; else texts of different components still have to meet
+    if sizes["c"] > 1:
         edges = links[0]
         for more in links[1:]:
             edges = edges.unionByName(more)
-        parts = components(edges)
-        tops = _leaders(now, parts)
-        sized = cut(tops.join(tops.groupBy("comp").agg(F.count("*").alias("c")), "comp"))
-        before, after = now.count(), sized.count()
-        now, turn = sized, turn + 1
-        if turn == ROUNDS or 2 * after > before or now.where(F.col("c") > block).isEmpty():
-            break
-    if turn and not now.where(F.col("c") > 1).isEmpty():
         links.append(_across(large, edges, block))
     for more in links:
         found = found.unionByName(more)
     return found
 
 
-def _leaders(members: DataFrame, parts: DataFrame) -> DataFrame:
-    """(comp, rep): one leader, the smallest member, of each component inside a group."""
-    named = members.select("comp", F.col("rep").alias("v")).join(parts.select("v", F.col("comp").alias("p")), "v", "left")
-    return named.groupBy("comp", F.coalesce("p", "v").alias("rep")).count().select("comp", "rep")
-
-
 def _across(large: DataFrame, edges: DataFrame, block: int) -> DataFrame:
     """Links between components of a group: each text outside the largest one against blocks of all texts."""
     parts = components(edges).select(F.col("v").alias("rep"), F.col("comp").alias("p"))
