@@ -72,15 +72,18 @@ def _bucketed(docs: DataFrame, doc_id: str, rows: int) -> tuple[DataFrame, int]:
     return docs.withColumn("_bucket", (r * inner + part).cast("long")), wanted
 
 
-def with_next(docs: DataFrame, columns: list[str], doc_id: str = "doc_id") -> DataFrame:
+def with_next(docs: DataFrame, columns: list[str], doc_id: str = "doc_id", made: dict[str, Column] | None = None) -> DataFrame:
     """docs with next_<column>: the values of the next document by descending id, after the last the first.
 
+    made: columns to add first, such as sketches; they are computed once a row, where they are needed.
+
     Rows are dealt to buckets of the id; each bucket also gets the first row of the bucket below, so
     that no window spans the table and each text is shuffled once. Rows without an id come first.
     """
     docs = docs.withColumn("_id", F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1)))
     dealt, buckets = _bucketed(docs, "_id", docs.count())
-    tie = F.xxhash64(*[c for c in columns])
+    made = made or {}
+    tie = F.xxhash64(*columns)
     dealt = dealt.withColumns({"_tie": tie, "_guest": F.lit(0)})
     heads = dealt.groupBy("_bucket").agg(F.max(F.struct("_id", "_tie")).alias("h"))
     # one row a bucket; the bucket below the last one is the first
@@ -91,15 +94,14 @@ def with_next(docs: DataFrame, columns: list[str], doc_id: str = "doc_id") -> Da
     guests = dealt.join(light, ["_id", "_tie"]).drop("_bucket").withColumnRenamed("to", "_bucket").withColumn("_guest", F.lit(1))
     guests = guests.dropDuplicates(["_bucket"])
     order = Window.partitionBy("_bucket").orderBy("_guest", F.desc("_id"), F.desc("_tie"))
-    both = dealt.unionByName(guests.select(dealt.columns))
-    led = both.withColumns({f"next_{c}": F.lead(c).over(order) for c in columns})
+    both = dealt.withColumns(made).unionByName(guests.select(dealt.columns).withColumns(made))
+    led = both.withColumns({f"next_{c}": F.lead(c).over(order) for c in [*columns, *made]})
     return led.where("_guest = 0").drop("_bucket", "_guest", "_tie", "_id")
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    docs = docs.withColumn("print", sketch(F.col("text")))
-    led = with_next(docs, ["text", "print"])
+    led = with_next(docs, ["text"], made={"print": sketch(F.col("text"))})
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))
