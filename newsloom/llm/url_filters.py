@@ -85,15 +85,13 @@ def demo_entries(pages: DataFrame) -> DataFrame:
     host, _ = parts(F.col("url"))
     hosts = pages.select(host.alias("host")).where("host <> ''").distinct()
     parent = F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1)
-    domains = hosts.select(parent.alias("pattern")).where("pattern <> ''").distinct().withColumn("kind", F.lit("domain"))
-    named = hosts.select(F.col("host").alias("pattern"), F.lit("host").alias("kind"))
-    paths = hosts.select(F.concat("host", F.lit("/en")).alias("pattern"), F.lit("path").alias("kind"))
-    every = domains.select("kind", "pattern").unionByName(named).unionByName(paths)
+    named = [(F.lit("domain"), parent), (F.lit("host"), F.col("host")), (F.lit("path"), F.concat("host", F.lit("/en")))]
+    every = hosts.select(F.explode(F.array(*[F.struct(k.alias("kind"), p.alias("pattern")) for k, p in named])).alias("e")).select("e.*").where("pattern <> ''").distinct()
     bit = F.pmod(F.conv(F.substring(F.md5(F.concat(F.lit("v"), "pattern")), 1, 6), 16, 10).cast("int"), F.lit(3))
     every = every.withColumns({"list": F.concat(F.lit("list_"), "kind"), "verdict": F.when(bit == 0, "allow").otherwise("block")})
     dates = [("add", "a", 120), ("remove", "r", 240), ("add", "b", 360)]
-    events = [every.select("*", F.lit(action).alias("action"), _day(seed, F.col("pattern"), days).alias("at")) for action, seed, days in dates]
-    return events[0].unionByName(events[1]).unionByName(events[2])
+    events = F.array(*[F.struct(F.lit(action).alias("action"), _day(seed, F.col("pattern"), days).alias("at")) for action, seed, days in dates])
+    return every.withColumn("_e", F.explode(events)).select("list", "kind", "pattern", "verdict", "_e.action", "_e.at")
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
