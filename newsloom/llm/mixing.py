@@ -22,6 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from newsloom.llm.common import cut, python_path, running, table, without
 
@@ -32,6 +33,7 @@ SHARD_WORDS = 1 << 20
 BUCKET = 500  # documents of a source that are summed in one window
 #: The sources' totals reach the driver, one row a source; more sources than this are refused.
 MAX_SOURCES = 200_000
+ONE = 1 << 24  # one copy, in the whole numbers that carry the remainders
 _EXACT = 900_000_000  # numpy draws hypergeometric numbers up to here; larger ones are drawn as normal
 
 
@@ -162,14 +164,14 @@ class Mix:
         return rows.withColumns({"lo": F.greatest("start", F.col("block") * self.block), "hi": F.least(end, (F.col("block") + 1) * self.block)})
 
     def taken(self) -> DataFrame:
-        """One row a document: doc_id, tie, size, source_size, target, taken."""
+        """One row a document: s, doc_id, tie, size, source_size, target, taken."""
         uses = self.slot_table().groupBy("s", "block").agg(F.count("*").alias("uses"))
         # the planner takes the slots for a small table: without the hint it would broadcast one row a block
         got = self.pieces().join(uses.hint("merge"), ["s", "block"], "left")
         key = ["s", "start", "doc_id", "tie", "size", "source_size", "target"]
         full = got.groupBy(*key).agg(F.coalesce(F.sum((F.col("hi") - F.col("lo")) * F.coalesce("uses", F.lit(0))), F.lit(0)).alias("taken"))
         none = self.packed.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
-        cols = ["doc_id", "tie", "size", "source_size", "target", "taken"]
+        cols = ["s", "doc_id", "tie", "size", "source_size", "target", "taken"]
         return full.select(*cols).unionByName(none.select(*cols))
 
     def texts(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -181,15 +183,30 @@ class Mix:
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
-    """docs' rows as the mix takes them: each document as often as its words are taken, rounded."""
+    """docs' rows as the mix takes them: each as often as its words are taken, rounded up or down so that sources keep their words.
+
+    Rounding one document at a time would round all long documents of a source alike, since each is taken
+    about target / size times. So the remainder is carried along the source's documents, those of a like
+    size (one power of two) after one another, from a seeded start: as many are rounded up as the sum of their
+    remainders says. Rows equal in id, source and text count together and share their copies evenly.
+    """
     plan = Mix(docs, **options)
-    copies = plan.taken().withColumn("_n", F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("int"))
-    copies = copies.groupBy("doc_id", "tie").agg(F.max("_n").alias("_n")).where("_n > 0").select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), "_n")
-    docs = without(docs, "_n", "_id", "_tie")
-    at = options.get("doc_id", "doc_id"), options.get("text", "text")
-    keyed = docs.withColumn("_tie", F.xxhash64(F.coalesce(F.col(at[1]), F.lit(""))))
-    joined = keyed.join(copies, (keyed[at[0]] == copies["_id"]) & (keyed["_tie"] == copies["_tie"])).drop("_id", "_tie")
-    return joined.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
+    at = [options.get(k, k) for k in ("doc_id", "text", "source")]
+    times = F.round(F.col("taken") / F.col("size") * ONE).cast("long")
+    groups = plan.taken().where("taken > 0").groupBy("s", "doc_id", "tie", "size").agg(F.sum(times).alias("times"), F.count("*").alias("_rows"))
+    groups = cut(groups.join(F.broadcast(plan.sources.select("s", "source", "buckets")), "s").withColumn("like", F.floor(F.log2("size")).cast("int")))
+    carried = running(groups, ["s", "like"], [F.col("size"), F.col("doc_id"), F.col("tie")], {"before": F.col("times")}, buckets=F.col("buckets"))
+    start = F.col("before") + F.pmod(F.xxhash64("s", "like", F.lit(plan.seed)), F.lit(ONE))
+    copies = carried.withColumn("_n", F.floor((start + F.col("times")) / ONE) - F.floor(start / ONE)).where("_n > 0")
+    copies = copies.select(F.col("doc_id").alias("_id"), F.struct("source", "tie").alias("_key"), "_n", "_rows")
+    docs = without(docs, "_n", "_id", "_key", "_rows", "_nth")
+    # structs are equal where both have a null source
+    keyed = docs.withColumn("_key", F.struct(F.col(at[2]).alias("source"), F.xxhash64(F.coalesce(F.col(at[1]), F.lit(""))).alias("tie")))
+    joined = keyed.join(copies.withColumnRenamed("_key", "_key2"), (keyed[at[0]] == copies["_id"]) & (keyed["_key"] == F.col("_key2")))
+    others = F.xxhash64(*[c for c, kind in docs.dtypes if "map<" not in kind])
+    joined = joined.withColumn("_nth", F.row_number().over(Window.partitionBy(at[0], "_key").orderBy(others)))
+    mine = F.floor(F.col("_nth") * F.col("_n") / F.col("_rows")) - F.floor((F.col("_nth") - 1) * F.col("_n") / F.col("_rows"))
+    return joined.withColumn("_n", mine).where("_n > 0").withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select(*docs.columns)
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

@@ -118,3 +118,28 @@ def test_mixed_texts_hold_the_taken_words(docs):
 def test_mixed_documents_keep_columns(docs):
     out = M.mix_documents(docs.withColumn("_n", F.lit(1)))
     assert set(out.columns) == {"doc_id", "text", "lang", "source", "n_chars"}
+
+
+def test_mixed_documents_meet_the_targets_of_sources_of_long_documents(spark):
+    """Documents of 10 blocks and more, sources with targets below half, above half and twice their sizes."""
+    n = {"a": 60, "b": 400, "c": 350, "d": 150}
+    rows = [(k * 1000 + i, "w " * (2560 + 97 * (i % 11)), s) for k, (s, m) in enumerate(n.items()) for i in range(m)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    out = M.mix_documents(docs, share=0.8).select("doc_id", "source", F.size(F.split(F.trim("text"), " ")).alias("n")).collect()
+    plan = M.Mix(docs, share=0.8)
+    goals = {r["source"]: (r["target"], r["source_size"]) for r in plan.sources.collect()}
+    assert any(0.1 < t / z < 0.4 for t, z in goals.values()) and any(0.5 < t / z < 0.95 for t, z in goals.values())
+    for s, (target, _) in goals.items():
+        assert abs(sum(r["n"] for r in out if r["source"] == s) - target) <= 3 * 3530, (s, target)
+    again = M.mix_documents(docs.repartition(3), share=0.8).select("doc_id").collect()
+    assert sorted(r["doc_id"] for r in out) == sorted(r["doc_id"] for r in again)
+
+
+def test_repeated_rows_share_their_copies(spark):
+    rows = [(1, "w " * 3000, "a", k) for k in range(40)] + [(2, "w " * 3000, None, k) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, k int")
+    out = M.mix_documents(docs, share=0.7, weights=(1, 2)).collect()
+    plan = M.Mix(docs, share=0.7, weights=(1, 2))
+    for s, target in zip(("a", None), plan.target, strict=True):
+        mine = [r["k"] for r in out if r["source"] == s]
+        assert abs(len(mine) * 3000 - target) <= 3000 and max(mine.count(k) for k in set(mine)) <= -(-len(mine) // 40)
