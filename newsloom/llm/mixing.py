@@ -10,8 +10,9 @@ Targets: sources in code-point order (null last) weigh 3, 1, 2, repeating, and s
 all sizes; a target stops at `most` times its source's size and the excess is shared anew by weight.
 
 Defined results: a null or wordless text has size 0 and takes nothing; an empty table gives no rows;
-null sources form one source; repeated rows are packed and counted one by one; clashing columns of
-the input are replaced.
+null sources form one source; repeated rows are packed and counted one by one; rows with a null id are
+packed, counted and returned like all others (nulls are equal ids); clashing columns of the input are
+replaced.
 """
 
 from __future__ import annotations
@@ -177,7 +178,8 @@ class Mix:
     def texts(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
         """(shard, slot, text): the mix itself, one block of words a slot (at most `block` pieces each)."""
         words = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("tie"), F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)).alias("w")).dropDuplicates(["doc_id", "tie"])
-        parts = self.pieces().join(words, ["doc_id", "tie"]).select("s", "block", "start", F.array_join(F.slice("w", (F.col("lo") - F.col("start") + 1).cast("int"), (F.col("hi") - F.col("lo")).cast("int")), " ").alias("t"))
+        pieces = self.pieces()
+        parts = pieces.join(words, pieces["doc_id"].eqNullSafe(words["doc_id"]) & (pieces["tie"] == words["tie"])).select("s", "block", "start", F.array_join(F.slice("w", (F.col("lo") - F.col("start") + 1).cast("int"), (F.col("hi") - F.col("lo")).cast("int")), " ").alias("t"))
         whole = parts.groupBy("s", "block").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "t"))), lambda x: x["t"]), " ").alias("text"))
         return self.slot_table().hint("merge").join(whole, ["s", "block"]).select("shard", "slot", "text")
 
@@ -198,13 +200,13 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     carried = running(groups, ["s", "like"], [F.col("size"), F.col("doc_id"), F.col("tie")], {"before": F.col("times")}, buckets=F.col("buckets"))
     start = F.col("before") + F.pmod(F.xxhash64("s", "like", F.lit(plan.seed)), F.lit(ONE))
     copies = carried.withColumn("_n", F.floor((start + F.col("times")) / ONE) - F.floor(start / ONE)).where("_n > 0")
-    copies = copies.select(F.col("doc_id").alias("_id"), F.struct("source", "tie").alias("_key"), "_n", "_rows")
-    docs = without(docs, "_n", "_id", "_key", "_rows", "_nth")
-    # structs are equal where both have a null source
-    keyed = docs.withColumn("_key", F.struct(F.col(at[2]).alias("source"), F.xxhash64(F.coalesce(F.col(at[1]), F.lit(""))).alias("tie")))
-    joined = keyed.join(copies.withColumnRenamed("_key", "_key2"), (keyed[at[0]] == copies["_id"]) & (keyed["_key"] == F.col("_key2")))
+    copies = copies.select(F.struct("doc_id", "source", "tie").alias("_key"), "_n", "_rows")
+    docs = without(docs, "_n", "_key", "_rows", "_nth", "_k")
+    # structs are equal where both have a null id or source
+    keyed = docs.withColumn("_key", F.struct(F.col(at[0]).alias("doc_id"), F.col(at[2]).alias("source"), F.xxhash64(F.coalesce(F.col(at[1]), F.lit(""))).alias("tie")))
+    joined = keyed.join(copies, "_key")
     others = F.xxhash64(*[c for c, kind in docs.dtypes if "map<" not in kind])
-    joined = joined.withColumn("_nth", F.row_number().over(Window.partitionBy(at[0], "_key").orderBy(others)))
+    joined = joined.withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy(others)))
     mine = F.floor(F.col("_nth") * F.col("_n") / F.col("_rows")) - F.floor((F.col("_nth") - 1) * F.col("_n") / F.col("_rows"))
     return joined.withColumn("_n", mine).where("_n > 0").withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select(*docs.columns)
 

@@ -32,3 +32,13 @@ def test_rows_stay(spark, odd):
     assert token_counts.token_counts(odd, ["source", "text"], ["doc_id"]).count() == n
     assert mixing.Mix(odd).taken().count() == n
     assert mixing.mix_documents(odd).columns == odd.columns
+
+
+def test_mix_returns_rows_without_an_id(spark, none):
+    rows = [(None, f"{k} " + "w " * 99, "en", "s" if k % 2 else None, k) for k in range(20)]
+    frame = spark.createDataFrame(rows, none.schema)
+    out = mixing.mix_documents(frame, block=10, share=2.0)
+    assert sorted(r["n_chars"] for r in out.collect()) == sorted([*range(20)] * 2)
+    plan = mixing.Mix(frame, block=10, share=2.0)
+    texts = [r["text"].split() for r in plan.texts(frame).collect()]
+    assert len(texts) == int(plan.slots.sum()) == 400 and all(len(t) == 10 for t in texts)
