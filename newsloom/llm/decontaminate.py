@@ -6,8 +6,9 @@ scanned once, and matches are carried back to word numbers and to code points of
 
 Defined results: a null or wordless text has no words and no hit; items without words give no
 window; an empty item table leaves every document clean; repeated rows are judged one by one;
-equal windows of several items count for each of them. Input columns named like an output column
-are replaced.
+equal windows of several items count for each of them; the windows of an item without an id give hits
+and spans like all others, but the item is neither in item_ids nor in n_items. Input columns named like
+an output column are replaced.
 """
 
 from __future__ import annotations
@@ -91,7 +92,7 @@ def scan(text: str | None, automaton, ids: list) -> tuple[int, list[tuple[int, i
         if gaps is None:
             gaps = np.flatnonzero(np.frombuffer(flat, np.uint8) == 32)
         last = int(np.searchsorted(gaps, end))
-        items.update(ids[i] for i in which)
+        items.update(ids[i] for i in which if ids[i] is not None)
         ranges.append((last - width, last))
     return len(w), merged(ranges), items
 
@@ -115,7 +116,7 @@ def _chunks(items: DataFrame, item_id: str, item_text: str, limit: int) -> Itera
         if now and size + chars > limit:
             yield now
             now, size = [], 0
-        if mine and row[0] is not None:
+        if mine:
             now.append((row[0], mine))
             size += chars
     yield now

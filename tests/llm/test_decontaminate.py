@@ -78,3 +78,17 @@ def test_digest_query(case, docs, tmp_path):
     docs.withColumn("extra", F.lit(1)).write.parquet(str(tmp_path / "documents.parquet"))
     case[1].write.parquet(str(tmp_path / "benchmark.parquet"))
     assert D.op3(docs.sparkSession, str(tmp_path)).count() == docs.count()
+
+
+@pytest.mark.parametrize("limit", [D.MAX_WINDOW_CHARS, 20])
+def test_items_without_an_id_give_hits_and_spans(case, limit):
+    docs, items, texts, _ = case
+    nameless = items.select(F.when(F.col("item_id") == 5, F.col("item_id")).alias("item_id"), "text")
+    out = {r["doc_id"]: r for r in D.contamination(docs, nameless, limit=limit).collect()}
+    named = {r["doc_id"]: r for r in D.contamination(docs, items, limit=limit).collect()}
+    for i in named:
+        assert all(out[i][c] == named[i][c] for c in ("n_words", "n_hit", "spans", "contaminated")), i
+        assert out[i]["item_ids"] == [k for k in named[i]["item_ids"] if k == 5] and out[i]["n_items"] == len(out[i]["item_ids"])
+    assert out[2]["contaminated"] and out[2]["n_items"] == 0
+    kept = {r["doc_id"]: r["text"] for r in D.contamination(docs, nameless, keep="clean", scrub=True, limit=limit).collect()}
+    assert 2 not in kept and all("thirteen" not in (t or "") for t in kept.values())
