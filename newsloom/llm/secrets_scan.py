@@ -9,7 +9,8 @@ a digit, whose mean log-likelihood ratio between two first-order character model
 and of ordinary identifiers, is at least THRESHOLD. Both models are counted from labelled samples
 (DataFrames of (token, random)); default_samples() makes 4 * SAMPLE_RANDOM random strings, and joins common words and
 the words of SAMPLE_DOCS documents as identifiers are. Spans that touch a base span are
-dropped: base spans stay.
+dropped: base spans stay. Random strings of letters alone and those under 20 characters are never scored
+and so not found outside an assign match; the README gives recall by length and alphabet.
 
 Everything runs as DataFrame expressions; the driver gets one row for each pair of characters.
 
