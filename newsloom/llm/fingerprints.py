@@ -6,6 +6,8 @@ fingerprint. Sketches merge by union (cut at the threshold), and containment and
 of very unequal length are estimated from the common hashes.
 
 likeness = common hashes / hashes of the smaller sketch: the containment of the smaller text.
+It is biased towards 0 where the smaller text is short: with n shingles, by up to (1 - 1 / SCALE)^n, the
+probability of no hash below the threshold; the README gives measured figures.
 
 Defined results: null and wordless texts have an empty fingerprint; two empty ones are alike (1), an
 empty and another are not (0); equal texts have equal fingerprints; repeated rows get one each; an
