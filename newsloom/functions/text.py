@@ -8,13 +8,30 @@ from pyspark.sql import functions as F
 from newsloom.functions import lexicon as L
 
 
+def plain(text: Column) -> Column:
+    """Whether a text is ASCII alone, for which cheaper classes of characters do."""
+    return F.octet_length(text) == F.length(text)
+
+
 def normalised(text: Column) -> Column:
-    """All runs of white space as one space, trimmed."""
-    return F.trim(F.regexp_replace(text, f"(?U)[{L.SPACE}]+", " "))
+    """All runs of white space as one space, trimmed. Single spaces, most of the runs, are left as they are."""
+    def runs(odd: str, white: str) -> str:
+        return f"{odd}{white}*| {white}+"
+
+    ascii_runs = runs(r"[\x09-\x0d\x1c-\x1f]", r"[\x09-\x0d\x1c-\x20]")
+    all_runs = "(?U)" + runs(f"[{L.SPACE}&&[^ ]]", f"[{L.SPACE}]")
+    return F.trim(F.when(plain(text), F.regexp_replace(text, ascii_runs, " ")).otherwise(F.regexp_replace(text, all_runs, " ")))
 
 
 def digits(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(f"[{L.DIGIT}]")).cast("int")
+    """Characters that count as digits; the wide class is tried on what is not ASCII alone."""
+    others = F.regexp_count(F.regexp_replace(text, r"[\x00-\x7f]+", ""), F.lit(f"[{L.DIGIT}]"))
+    return (F.regexp_count(text, F.lit("[0-9]")) + F.when(plain(text), 0).otherwise(others)).cast("int")
+
+
+def year_number(year: Column) -> Column:
+    """The number of a year written in decimal digits of any script."""
+    return F.translate(year, L.DECIMALS, "0123456789" * (len(L.DECIMALS) // 10)).cast("int")
 
 
 def has(text: Column, name: str) -> Column:
@@ -25,14 +42,16 @@ def has(text: Column, name: str) -> Column:
 ODD_CASE = "ſKİı"
 
 
-def has_any(text: Column, name: str) -> Column:
-    """has() for a pattern of alternatives that start with plain text: a search for those starts comes first."""
-    starts = sorted({a.removeprefix(r"\b").split("\\")[0].lower() for a in getattr(L, name).split("|")})
-    low = F.lower(text)
-    maybe = F.lit(False)
-    for x in [*starts, *ODD_CASE]:
-        maybe = maybe | F.contains(low if x not in ODD_CASE else text, F.lit(x))
-    return maybe & has(text, name)
+def maybe(low: Column, name: str) -> Column:
+    """Whether a pattern of alternatives can match at all: low, the text in lower case, holds the beginning of one of
+    them or a character of odd case. A search for plain text, much cheaper than the pattern."""
+    starts = F.array(*[F.lit(x) for x in [*L.beginnings(name), *ODD_CASE, "i̇"]])
+    return F.exists(starts, lambda x: F.contains(low, x))
+
+
+def flu_in(sentence: Column) -> Column:
+    """has(sentence, "FLU"), behind letters that all of its alternatives hold and no other character folds to."""
+    return sentence.rlike("[fF][lL][uU]|[hH][1357][nN][1-9]") & has(sentence, "FLU")
 
 
 def occurrences(text: Column, name: str) -> Column:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import argparse
 
+from pyspark.sql import functions as F
+
 from newsloom.operators import classify, packets, pool, sampling
 from newsloom.session import session
 from newsloom.sources import readers, writers
@@ -11,10 +13,13 @@ from newsloom.sources import readers, writers
 
 def run_sampling(spark, pool_dir: str, out: str, seed: int = 42) -> dict:
     """Read, check, bucket, draw and write; returns the summary."""
-    articles = classify.bucketed(pool.read_pool(*readers.pool_folder(spark, pool_dir), seed=seed)).persist()
+    relations = readers.pool_folder(spark, pool_dir)
+    # the rows are kept without their texts; those of the sample are read again
+    articles = classify.bucketed(pool.read_pool(*relations, seed=seed)).drop("text").persist()
     try:
-        drawn = sampling.draw(articles.drop("text"), seed)
-        sample = drawn.join(articles.select("record_id", "text"), "record_id")
+        drawn = sampling.draw(articles, seed)
+        texts = relations[0].select(F.col("gkg_record_id").alias("record_id"), F.coalesce("article", F.lit("")).alias("text"))
+        sample = texts.join(drawn, "record_id")
         summary = writers.save_run(out, articles, sample)
         for by in ("bucket", "country", "phase"):
             print(by, {r[by]: r["n"] for r in sampling.frequency(drawn, by).collect()})

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.functions.text import digits, has, has_any, let, normalised, occurrences, sentences
+from newsloom.functions.text import digits, flu_in, has, let, maybe, normalised, occurrences, sentences, year_number
 from newsloom.functions import lexicon as L
 
 
@@ -29,6 +29,8 @@ class Thresholds:
     business_min: float = 0.3
     policy_min: float = 0.4
     aware_min: float = 0.3
+    #: Let up to forty characters stand between a person and a bird-flu strain; the reference's rules do not.
+    wide_zoonotic: bool = False
 
 
 # Buckets and their reasons, in the order of the cascade.
@@ -51,24 +53,21 @@ REASONS = {
     "N_other_flu_mention": "flu is mentioned but no pattern matched",
 }
 
-#: Sums over sentences: of all of them, of those with a flu term, and of the evidence near flu terms.
-SUMS = ["other_disease", "flu", "near", "idiom", "research", "past", "business", "policy", "aware", "numbered", "event", "history", "anchored", "trend", "response", "bird_flu_human"]
+#: Sums over sentences: of all of them, of those with a flu term, of those near one, and of the evidence near flu terms.
+EVIDENCE = ["idiom", "research", "past", "business", "policy", "aware", "numbered", "event", "history", "anchored", "trend", "response", "bird_flu_human"]
+SUMS = ["other_disease", "flu", "near", *EVIDENCE]
 
 
-def _flags(s: Column, flu: Column, near: Column, year: Column) -> Column:
-    """What one sentence counts for, in the order of SUMS. Conditions stand before dearer ones."""
-    def base(x):
-        return F.struct(
-            has(x, "CUR").alias("cur"), has(x, "AWARE").alias("aware"), has(x, "HYPO").alias("hypo"), has(x, "GENERIC").alias("generic"),
-            (has(x, "HIST") & ~has(x, "COMPARE")).alias("past"), has(x, "RESEARCH").alias("research"), has(x, "BUSINESS").alias("business"))
-
-    none = F.struct(*[F.lit(False).alias(n) for n in ("cur", "aware", "hypo", "generic", "past", "research", "business")])
+def _flags(s: Column, flu: Column, year: Column, diseases: Column, rules: Thresholds) -> Column:
+    """What one sentence near a flu term counts for, in the order of EVIDENCE. Conditions stand before dearer ones."""
+    base = F.struct(
+        has(s, "CUR").alias("cur"), has(s, "AWARE").alias("aware"), has(s, "HYPO").alias("hypo"), has(s, "GENERIC").alias("generic"),
+        (has(s, "HIST") & ~has(s, "COMPARE")).alias("past"), has(s, "RESEARCH").alias("research"), has(s, "BUSINESS").alias("business"))
 
     def full(b):
-        other = has(s, "OTHER_DIS")
         animal_only = has(s, "ANIMAL") & ~has(s, "HUMAN")
-        bird = near & has(s, "ZOON_SUB") & has(s, "ZOON_HUM") & ~has(s, "ZOON_NEG")
-        walked = near & ~(b["research"] & ~b["cur"]) & ~(~flu & other) & ~animal_only
+        bird = has(s, "ZOON_SUB") & has(s, "ZOON_HUM_WIDE" if rules.wide_zoonotic else "ZOON_HUM") & ~has(s, "ZOON_NEG")
+        walked = ~(b["research"] & ~b["cur"]) & ~(~flu & diseases & has(s, "OTHER_DIS")) & ~animal_only
 
         def evidence(w):
             def counted(c):
@@ -77,7 +76,7 @@ def _flags(s: Column, flu: Column, near: Column, year: Column) -> Column:
                 rate = ~b["cur"] & ~sick & (b["aware"] | has(s, "RATE"))
                 case = w & (number | sick | has(s, "EVENT_C") | person) & ~b["generic"] & ~rate
                 years = F.regexp_extract_all(s, F.lit(L.java("YEAR")), F.lit(1))
-                old = F.exists(years, lambda y: y.cast("int") <= year - 2) | has(s, "DECADE")
+                old = F.exists(years, lambda y: year_number(y) <= year - 2) | has(s, "DECADE")
                 return F.struct(case.alias("case"), number.alias("number"), (case & ~b["cur"] & (b["past"] | old)).alias("history"))
 
             number = w & (has(s, "COUNT_A") | has(s, "COUNT_B") | has(s, "COUNT_C"))
@@ -88,36 +87,49 @@ def _flags(s: Column, flu: Column, near: Column, year: Column) -> Column:
         trend = flu & ~barred & (wording | (~b["hypo"] & has(s, "STATUS")))
         number = lambda c: c.cast("int")
         return let(walked, lambda w: let(evidence(w), lambda e: F.struct(
-            number(other).alias("other_disease"), number(flu).alias("flu"), number(near).alias("near"), number(flu & has(s, "IDIOM")).alias("idiom"), number(flu & b["research"]).alias("research"),
+            number(flu & has(s, "IDIOM")).alias("idiom"), number(flu & b["research"]).alias("research"),
             number(flu & b["past"]).alias("past"), number(flu & b["business"]).alias("business"), number(flu & has(s, "POLICY")).alias("policy"), number(flu & b["aware"]).alias("aware"),
             number(e["case"] & ~e["history"] & e["number"]).alias("numbered"), number(e["case"] & ~e["history"] & ~e["number"]).alias("event"), number(e["history"]).alias("history"),
             number(e["case"] & ~e["history"] & b["cur"]).alias("anchored"), number(w & trend).alias("trend"), number(w & has(s, "RESPONSE")).alias("response"), number(bird).alias("bird_flu_human"))))
 
-    return let(F.when(near, base(s)).otherwise(none), full)
+    return let(base, full)
 
 
-def sentence_sums(text: Column, year: Column) -> Column:
-    """A struct of SUMS over a text's sentences; near: a flu term stands in the sentence or beside it."""
-    def flagged(kept):
-        def each(flu):
-            def one(s, i):
-                here = F.get(flu, i)
-                near = here | F.coalesce(F.get(flu, i - 1), F.lit(False)) | F.coalesce(F.get(flu, i + 1), F.lit(False))
-                return _flags(s, here, near, year)
-            return F.transform(kept, one)
-        return let(F.transform(kept, lambda s: has(s, "FLU")), each)
+def sentence_sums(text: Column, year: Column, diseases: Column, rules: Thresholds = Thresholds()) -> Column:
+    """A struct of SUMS over a text's sentences; near: a flu term stands in the sentence or beside it.
 
-    zero = F.struct(*[F.lit(0).alias(n) for n in SUMS])
-    return let(sentences(text), lambda kept: F.aggregate(flagged(kept), zero, lambda a, x: F.struct(*[(a[n] + x[n]).alias(n) for n in SUMS])))
+    diseases: whether the text can name another disease at all. Evidence is looked for near flu terms alone.
+    """
+    zero = F.struct(*[F.lit(0).alias(n) for n in EVIDENCE])
+
+    def summed(kept, flu):
+        def placed(s, i):
+            here = F.get(flu, i)
+            near = here | F.coalesce(F.get(flu, i - 1), F.lit(False)) | F.coalesce(F.get(flu, i + 1), F.lit(False))
+            return F.struct(s.alias("s"), here.alias("flu"), near.alias("near"))
+
+        def sums(near):
+            flags = F.transform(near, lambda x: _flags(x["s"], x["flu"], year, diseases, rules))
+            return let(F.aggregate(flags, zero, lambda a, x: F.struct(*[(a[n] + x[n]).alias(n) for n in EVIDENCE])), lambda e: F.struct(
+                F.when(diseases, F.size(F.filter(kept, lambda s: has(s, "OTHER_DIS")))).otherwise(0).alias("other_disease"),
+                F.size(F.filter(flu, lambda f: f)).alias("flu"), F.size(near).alias("near"), *[e[n].alias(n) for n in EVIDENCE]))
+
+        return let(F.filter(F.transform(kept, placed), lambda x: x["near"]), sums)
+
+    return let(sentences(text), lambda kept: let(F.transform(kept, flu_in), lambda flu: summed(kept, flu)))
 
 
 def junk_features(articles: DataFrame, text: str = "text") -> DataFrame:
     """Adds norm and the features of the first steps; text: null is empty."""
     norm = articles.withColumn(text, F.coalesce(F.col(text), F.lit(""))).withColumn("norm", normalised(F.col(text)))
-    t = F.col("norm")
-    return norm.withColumns({
-        "n_norm": F.length(t), "is_spam": has_any(t, "SPAM"), "n_digits": digits(t), "n_dated": occurrences(t, "DATE_HEAD"),
-        "n_flu": occurrences(t, "FLU"), "n_animal": occurrences(t, "ANIMAL_TERMS")})
+    t, low = F.col("norm"), F.col("_low")
+
+    def counted(name):
+        return F.when(maybe(low, name), occurrences(t, name)).otherwise(0)
+
+    return norm.withColumn("_low", F.lower(t)).withColumns({
+        "n_norm": F.length(t), "is_spam": maybe(low, "SPAM") & has(t, "SPAM"), "n_digits": digits(t), "n_dated": F.when(t.rlike(r"(?U)20\d\d"), occurrences(t, "DATE_HEAD")).otherwise(0),
+        "n_flu": counted("FLU"), "n_animal": counted("ANIMAL_TERMS"), "_diseases": maybe(low, "OTHER_DIS")}).drop("_low")
 
 
 def features(articles: DataFrame, text: str = "text", year: str = "year", rules: Thresholds = Thresholds()) -> DataFrame:
@@ -125,7 +137,10 @@ def features(articles: DataFrame, text: str = "text", year: str = "year", rules:
     f = junk_features(articles, text)
     passed = ~F.col("is_spam") & (F.col("n_norm") >= rules.min_chars) & ~(F.try_divide("n_digits", "n_norm") > rules.max_digit_ratio) & (F.col("n_dated") < rules.max_dated) & (F.col("n_flu") > 0)
     zero = F.struct(*[F.lit(0).alias(n) for n in SUMS])
-    return f.withColumn("sums", F.when(passed, sentence_sums(F.col(text), F.col(year))).otherwise(zero)).drop("norm")
+    # a generator of one row: the sums are computed once, and filters on them stay above it (else Catalyst would push the
+    # whole cascade, twice, below the joins that thin out the articles)
+    sums = F.when(passed, sentence_sums(F.col(text), F.col(year), F.col("_diseases"), rules)).otherwise(zero)
+    return f.select(*[c for c in f.columns if c not in ("norm", "_diseases")], F.explode(F.array(sums)).alias("sums"))
 
 
 def bucket_of(rules: Thresholds = Thresholds()) -> Column:

@@ -13,6 +13,24 @@ def eligible(seasons: DataFrame) -> DataFrame:
     return seasons.where("coalesce(sampling_season, '') <> ''")
 
 
+def english(pool: DataFrame) -> DataFrame:
+    """The English articles of a pool that names its languages (lang), without that column; other pools as they are."""
+    return pool.where("lang = 'en'").drop("lang") if "lang" in pool.columns else pool
+
+
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """rows dealt by key to as many tasks as the session has for shuffles, and one for each core at least.
+
+    The cascade is bound by its patterns, not by bytes: tasks made by size would leave cores idle. The number is
+    given by name, so that adaptive execution doesn't join the tasks again, and a join by key needs no other shuffle.
+    Such a join should name the other side, of light rows, as the one that is hashed: a small pool would else be sent
+    to the other side's few tasks.
+    """
+    spark = rows.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return rows.repartition(n, key)
+
+
 def without_group(seasons: DataFrame, groups: DataFrame) -> DataFrame:
     """Eligible articles that the near-duplicate table does not know."""
     return eligible(seasons).join(groups, "gkg_record_id", "left_anti").select("gkg_record_id")
@@ -46,14 +64,15 @@ def one_per_group(seasons: DataFrame, groups: DataFrame, seed: int = 42) -> Data
 def read_pool(pool: DataFrame, seasons: DataFrame, groups: DataFrame, windows: DataFrame, seed: int = 42, checked: bool = True) -> DataFrame:
     """Eligible articles, one a group, with phase: record_id, url, scan_date, year, text, country, season, phase, near_dup_group, group_size.
 
-    Ids are joined first; the texts come last and cross one shuffle.
+    Of a pool with lang, English articles alone. Ids are joined first; the texts come last and cross one shuffle.
     """
+    pool = english(pool)
     if checked:
         check(seasons, groups, windows)
     kept = one_per_group(seasons, groups, seed).join(eligible(seasons).select("gkg_record_id", "sampling_country", "sampling_season"), "gkg_record_id")
-    kept = kept.join(F.broadcast(windows.select("season_id", "onset_date")), F.col("sampling_season") == F.col("season_id"))  # a few rows a season and country
+    kept = kept.join(windows.select("season_id", "onset_date"), F.col("sampling_season") == F.col("season_id"))
     day = F.to_date(F.substring("datetime", 1, 10), "yyyy-MM-dd")
-    full = pool.select("gkg_record_id", "url", day.alias("day"), "article").join(kept, "gkg_record_id")
+    full = spread(pool.select("gkg_record_id", "url", day.alias("day"), "article"), "gkg_record_id").join(kept.hint("shuffle_hash"), "gkg_record_id")
     return full.select(F.col("gkg_record_id").alias("record_id"), "url", F.col("day").cast("string").alias("scan_date"), F.year("day").alias("year"), F.coalesce("article", F.lit("")).alias("text"),
                        F.col("sampling_country").alias("country"), F.col("sampling_season").alias("season"), phase(F.col("day"), F.col("onset_date")).alias("phase"), "near_dup_group", "group_size")
 

@@ -74,3 +74,17 @@ def pool_rate(sample: DataFrame, articles: DataFrame, flag: str, quotas: dict[st
     drawn_rows = sample.groupBy(quota_name(F.col("bucket")).alias("name")).agg(F.count("*").alias("drawn"), F.sum(F.col(flag).cast("int")).alias("positive"))
     both = bucket_sizes(articles, quotas).join(drawn_rows, "name")
     return both.agg(F.round(F.sum(F.col("n") * F.col("positive") / F.col("drawn")) / F.sum("n"), 6).alias("rate"), F.sum("n").alias("n"), F.sum("drawn").alias("drawn"))
+
+
+def cell_rate(sample: DataFrame, articles: DataFrame, flag: str) -> DataFrame:
+    """pool_rate with a weight for each cell (bucket, country, season, phase) that was drawn from, an extension: the
+    draw takes cells in turn, so that a bucket's small cells are drawn more densely than its large ones.
+
+    Cells that were not drawn from weigh nothing; covered is the share of articles in those that were.
+    """
+    named = lambda rows: rows.withColumn("name", quota_name(F.col("bucket")))
+    sizes = named(articles).groupBy("name", *CELL).agg(F.count("*").alias("n"))
+    got = named(sample).groupBy("name", *CELL).agg(F.count("*").alias("drawn"), F.sum(F.col(flag).cast("int")).alias("positive"))
+    both = sizes.join(got, ["name", *CELL], "left")
+    seen = F.when(F.col("drawn") > 0, F.col("n"))
+    return both.agg(F.round(F.sum(F.col("n") * F.col("positive") / F.col("drawn")) / F.sum(seen), 6).alias("rate"), F.round(F.sum(seen) / F.sum("n"), 6).alias("covered"), F.sum("n").alias("n"), F.sum("drawn").alias("drawn"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# One phrase for each branch of the cascade, by doc_id modulo twenty.
+# By doc_id modulo their number, one phrase for each branch of the cascade, then some of several sentences
+# that meet the rarer patterns and give shares between none and all.
 PHRASES = [
     "Health officials confirmed 12 flu cases this week.",
     "A second flu infection was confirmed in the city yesterday.",
@@ -27,6 +28,26 @@ PHRASES = [
     "20 percent of students are sick with flu.",
     "The study reported 12 flu cases this week.",
     "",
+    "Flu cases are rising faster than at this time last year. The flu came early. The word flu is here too.",
+    "The virus killed at least 30 people as flu spread this month.",
+    "In the 1990s 40 people died of flu. The flu was severe then. Nobody spoke of flu for long.",
+    "Flu season usually peaks in February. Flu cases are usually rising then.",
+    "Flu cases could rise if the weather stays cold. Flu might spread.",
+    "She was hospitalized with the flu. The singer left the hospital.",
+    "There is no evidence that flu activity is widespread. Flu was discussed.",
+    "Zika and flu outbreaks are spreading. The flu is around. Polio came up.",
+    "The football team said flu activity was rising among players. Flu again.",
+    "Flu activity is rising sharply in the north. Get your flu shot. Tips on flu. More on flu.",
+    "There were no human cases of bird flu, which poses no danger. An h5n1 flock was culled.",
+    "3 human cases of h7n9 were confirmed today. Poultry was culled after bird flu.",
+    "Researchers wrote about flu. The word flu appears here. Flu is named once more.",
+    "Last season the flu was mild. The word flu appears here. Nothing else on flu. Flu.",
+    "Shares fell on flu news. Flu came up in the talk. Flu was named. Flu.",
+    "She had stomach flu. The word flu appears here.",
+    "Visiting restrictions are in place at wards because of flu. Ebola was ruled out.",
+    "Flu cases rose to 1,200 on Monday, up from 800 a week before. Vaccination protects against flu.",
+    "Officials reported no new cases of dengue, measles or polio.\nThe flu season has not yet begun.",
+    "In 2009 the hospital admitted 20 patients with flu.\nAbout 15 residents died of the flu yesterday. 30 percent of pupils are sick.",
 ]
 COUNTRIES = ["USA", "India", "Australia", "Brazil", "Indonesia", "Kenya"]
 FIRST_YEAR, YEARS = 2015, 3
@@ -37,14 +58,14 @@ def _pick(values: list[str], at):
 
 
 def article_pool(docs: DataFrame) -> DataFrame:
-    """English documents as articles: gkg_record_id, url, datetime, article."""
-    k = F.pmod(F.col("doc_id"), F.lit(20))
+    """Documents as articles: gkg_record_id, url, datetime, article, lang."""
+    k = F.pmod(F.col("doc_id"), F.lit(len(PHRASES)))
     day = F.date_add(_onset(), (F.pmod(F.col("doc_id") * 37, F.lit(91)) - 70).cast("int"))
-    return docs.where("lang = 'en'").select(
+    return docs.select(
         F.concat(F.lit("a"), F.lpad(F.col("doc_id").cast("string"), 12, "0")).alias("gkg_record_id"),
         F.concat(F.lit("http://news.example/"), F.col("doc_id").cast("string")).alias("url"),
         F.concat(day.cast("string"), F.lit("T06:00:00")).alias("datetime"),
-        F.concat(F.col("text"), F.lit("\n"), _pick(PHRASES, k)).alias("article"), "doc_id", F.md5("text").alias("text_md5"))
+        F.concat(F.col("text"), F.lit("\n"), _pick(PHRASES, k)).alias("article"), "doc_id", F.md5("text").alias("text_md5"), "lang")
 
 
 def _onset():
@@ -75,7 +96,7 @@ def windows(spark) -> DataFrame:
 
 
 def _sql_list(values: list[str]) -> str:
-    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+    return "[" + ", ".join("'" + v.replace("'", "''").replace("\n", "' || chr(10) || '") + "'" for v in values) + "]"
 
 
 #: The same relations in DuckDB SQL, as common table expressions.
@@ -83,7 +104,7 @@ SQL = f"""
 pool AS (
   SELECT 'a' || lpad(CAST(doc_id AS VARCHAR), 12, '0') AS gkg_record_id, 'http://news.example/' || doc_id AS url,
          strftime(make_date(CAST({FIRST_YEAR} + (doc_id // 6) % {YEARS} AS BIGINT), doc_id % 6 + 1, doc_id % 6 + 5) + CAST((doc_id * 37) % 91 - 70 AS INT), '%Y-%m-%d') || 'T06:00:00' AS datetime,
-         text || chr(10) || {_sql_list(PHRASES)}[CAST(doc_id % 20 + 1 AS INT)] AS article, doc_id, md5(text) AS text_md5
+         text || chr(10) || {_sql_list(PHRASES)}[CAST(doc_id % {len(PHRASES)} + 1 AS INT)] AS article, doc_id, md5(text) AS text_md5
   FROM documents WHERE lang = 'en'),
 seasons AS (
   SELECT gkg_record_id, CASE WHEN doc_id % 17 <> 0 THEN {_sql_list(COUNTRIES)}[CAST(doc_id % 6 + 1 AS INT)] END AS sampling_country,

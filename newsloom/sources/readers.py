@@ -29,6 +29,9 @@ def pool_folder(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame,
 
 
 def sample(spark: SparkSession, path: str) -> DataFrame:
+    """The drawn sample, one object a line; a blank line raises, unlike in the pool's files."""
+    if n := spark.read.text(path).where("trim(value) = ''").count():
+        raise ValueError(f"{n} blank lines in {path}")
     return jsonl(spark, path, SAMPLE)
 
 

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from newsloom.operators import packets, sampling
 
+MOST = 20_000  # rows of one packet file
+
 
 def csv_rows(rows: DataFrame, path: str, columns: list[str]) -> None:
     """Header, CRLF, quotes only where needed and doubled inside, nulls empty, exactly these columns (a line feed inside a field becomes CRLF)."""
@@ -47,19 +49,30 @@ def _sheet_file(path: Path, columns: list[str], rows: list) -> None:
     path.write_bytes(buffer.getvalue().encode("utf-8-sig"))
 
 
-def save_packets(out: str, dealt: DataFrame, instructions: str | None = None, labelers: list[str] = packets.LABELERS) -> None:
-    """For each labeler a label sheet, an empty item sheet and the texts; the assignment key; the instructions."""
+def _few(rows: DataFrame, most: int) -> list:
+    """The rows on the driver, where the format asks for one file; more than `most` are refused."""
+    got = rows.limit(most + 1).collect()
+    if len(got) > most:
+        raise ValueError(f"more than {most} rows: packets hold a sample")
+    return got
+
+
+def save_packets(out: str, dealt: DataFrame, instructions: str | None = None, labelers: list[str] = packets.LABELERS, most: int = MOST) -> None:
+    """For each labeler a label sheet, an empty item sheet and the texts; the assignment key; the instructions.
+
+    A sample has a fixed size; a table of more than `most` rows a file is refused before it reaches the driver.
+    """
     folder = Path(out)
     folder.mkdir(parents=True, exist_ok=True)
     sheet = packets.sheets(dealt, labelers)
     for name in labelers:
         mine = sheet.where(F.col("labeler") == name).orderBy("row")
-        rows = packets.label_sheet(mine).collect()
+        rows = _few(packets.label_sheet(mine), most)
         _sheet_file(folder / f"{name}_labels.csv", packets.LABEL_COLUMNS, [r.asDict() for r in rows])
         _sheet_file(folder / f"{name}_items.csv", packets.ITEM_COLUMNS, [])
-        texts = mine.select("row", packets.packet_text().alias("t")).orderBy("row").collect()
+        texts = _few(mine.select("row", packets.packet_text().alias("t")).orderBy("row"), most)
         (folder / f"{name}_texts.txt").write_text("".join(r["t"] for r in texts), encoding="utf-8")
-    key = packets.assignment_key(dealt, labelers).orderBy("owner", "article_id").collect()
+    key = _few(packets.assignment_key(dealt, labelers).orderBy("owner", "article_id"), most)
     with (folder / "assignment_key.csv").open("w", newline="", encoding="utf-8") as f:
         w = csv.DictWriter(f, fieldnames=packets.KEY_COLUMNS)
         w.writeheader()

@@ -17,12 +17,18 @@ def bucket(spark, texts, year=2016):
 
 
 CASES = [
-    ("P_A1_counts", PHRASES[0]), ("P_A2_case_event", PHRASES[1]), ("P_B_trend_response", PHRASES[2]), ("P_B_trend_response", PHRASES[3]), ("Z_zoonotic_human", PHRASES[4]),
+    ("P_A1_counts", PHRASES[0]), ("P_A2_case_event", PHRASES[1]), ("P_B_trend_response", PHRASES[2]), ("P_B_trend_response", PHRASES[3]), ("N_animal_flu", PHRASES[4]),
     ("N_animal_flu", PHRASES[5]), ("N_flu_idiom", PHRASES[6]), ("N_other_disease", PHRASES[7]), ("N_history_only", PHRASES[8]), ("N_history_only", PHRASES[9]), ("N_research", PHRASES[10]),
     ("N_business_policy", PHRASES[11]), ("N_business_policy", PHRASES[12]), ("N_awareness", PHRASES[13]), ("N_other_flu_mention", PHRASES[14]), ("X_spam_stub", PHRASES[15]),
     ("X_listing_garbled", PHRASES[16]), ("P_A2_case_event", PHRASES[17]), ("P_A1_counts", PHRASES[18]), ("N_no_flu_text", PHRASES[19]),
     ("P_B_trend_response", "Flu cases are rising faster than last year."), ("N_research", "The study followed 12 patients with flu."),
     ("N_other_flu_mention", "The Centers for Disease Control and Prevention named flu."), ("N_awareness", "Flu shots prevent flu."),
+    ("Z_zoonotic_human", "Doctors reported 3 human cases of bird flu. Poultry was culled."), ("N_animal_flu", "There were no human cases of bird flu, and the poultry was culled."),
+    ("N_other_flu_mention", "There is no evidence that flu activity is widespread. Flu was discussed."), ("N_other_flu_mention", "The football team said flu activity was rising among players. Flu again."),
+    ("N_other_flu_mention", "Flu season usually peaks in February. Flu cases are usually rising then."), ("N_other_flu_mention", "Flu cases could rise if the weather stays cold. Flu might spread."),
+    ("P_A2_case_event", "She was hospitalized with the flu. The singer left the hospital."), ("P_A1_counts", "The virus killed at least 30 people as flu spread this month."),
+    ("N_history_only", "In the 1990s 40 people died of flu. The flu was severe then. Nobody spoke of flu for long."), ("N_other_flu_mention", "Zika and flu outbreaks are spreading. The flu is around. Polio came up."),
+    ("P_B_trend_response", "Flu activity is rising sharply in the north. Get your flu shot. Tips on flu. More on flu."),
     ("P_A1_counts", "The flu came.\nDoctors confirmed 12 cases today.\nNothing more."), ("N_no_flu_text", "Doctors confirmed 12 cases today."),
 ]
 
@@ -51,6 +57,31 @@ def test_old_years_depend_on_the_scan_year(spark):
     assert bucket(spark, [t], 2016) == ["N_history_only"]
 
 
+def test_person_and_strain_in_one_sentence(spark):
+    """The branch "a man ... bird flu" never matches in the reference's rules; a switch lets it."""
+    rows = spark.createDataFrame([(FILL + "\nA man was infected with bird flu in the district.", 2016)], "text string, year int")
+    assert classify.bucketed(rows).first()["bucket"] == "N_animal_flu"
+    assert classify.bucketed(rows, rules=classify.Thresholds(wide_zoonotic=True)).first()["bucket"] == "Z_zoonotic_human"
+
+
+def test_years_in_digits_of_other_scripts(spark):
+    old = FILL + "\nIn 19٤٤ officials confirmed 12 flu cases."
+    new = FILL + "\nIn 20१६ officials confirmed 12 flu cases."
+    odd = FILL + "\nIn 19𝟒𝟖 officials confirmed 12 flu cases."
+    assert bucket(spark, [old, new, odd]) == ["N_history_only", "P_A1_counts", "N_history_only"]
+
+
+def test_the_cascade_is_spread_and_computed_once(spark):
+    """Filters on the features stay above the cascade, and the pool's tasks are as many as the session's."""
+    from newsloom.plans import registry
+    rows = registry.articles(spark, "/root/testdata/sf0.001")
+    plan = classify.bucketed(rows).where("bucket = 'P_A1_counts'")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Filter") < plan.index("Generate") and plan.count("Generate") == 1
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    parts = {r[0] for r in classify.bucketed(rows).select(F.spark_partition_id()).collect()}
+    assert len(parts) == n
+
+
 def test_reason_and_input_columns(spark):
     rows = spark.createDataFrame([("x", "short", 2016, "old")], "record_id string, text string, year int, bucket string")
     r = classify.bucketed(rows).first()
@@ -64,7 +95,7 @@ SAMPLES = ["Flu cases rose to 1,200 on Monday, up from last year.", "and prevent
 
 def test_patterns_agree_with_the_other_language(spark):
     """Our Java patterns and the same patterns in Python's engine find the same texts."""
-    names = [n for n in dir(L) if n.isupper() and n not in ("NUM", "VERB_AFTER", "TREND_UP", "TREND_DN", "PEAK", "ONSET", "EXTENT", "LOWQ", "QUIET", "EPI_N", "TREND_ANY", "SPACE", "SENTENCE", "DIGIT", "CASED", "MARK", "_SQL_REWRITES")]
+    names = [n for n in dir(L) if n.isupper() and n not in ("NUM", "VERB_AFTER", "TREND_UP", "TREND_DN", "PEAK", "ONSET", "EXTENT", "LOWQ", "QUIET", "EPI_N", "TREND_ANY", "SPACE", "SENTENCE", "DIGIT", "DECIMALS", "CASED", "MARK", "_SQL_REWRITES")]
     texts = SAMPLES + PHRASES
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     got = rows.select("i", *[X.has(F.col("t"), n).alias(n) for n in names]).orderBy("i").collect()
@@ -75,7 +106,8 @@ def test_patterns_agree_with_the_other_language(spark):
 
 def test_search_by_starts_finds_the_same(spark):
     texts = SAMPLES + PHRASES + ["CASıNO", "CaSiNo", "a CFD b", "aCFDb", "PORN star", "porno", "xem trực nothing", "caſino", "access denied", "Access  denied"]
-    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(X.has(F.col("t"), "SPAM").alias("a"), X.has_any(F.col("t"), "SPAM").alias("b")).collect()
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(X.has(F.col("t"), "SPAM").alias("a"), (X.maybe(F.lower("t"), "SPAM") & X.has(F.col("t"), "SPAM")).alias("b"), *[(X.has(F.col("t"), n) & ~X.maybe(F.lower("t"), n)).alias(n) for n in ("FLU", "ANIMAL_TERMS", "OTHER_DIS")], (X.has(F.col("t"), "FLU") != X.flu_in(F.col("t"))).alias("c")).collect()
+    assert not any(r[n] for r in rows for n in ("FLU", "ANIMAL_TERMS", "OTHER_DIS", "c"))
     assert [r["a"] for r in rows] == [r["b"] for r in rows] and sum(r["a"] for r in rows) >= 7
 
 

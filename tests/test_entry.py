@@ -6,7 +6,7 @@ import __spark_entry__ as entry
 from newsloom.plans import registry
 
 SF = "/root/testdata/sf0.001"
-CHECKED = ["bucket_assign", "evidence_counts", "stratified_draw", "assignment_key", "weekly_new_cases", "evidence_check", "exact_dedup", "one_per_group"]
+CHECKED = ["bucket_assign", "evidence_counts", "stratified_draw", "assignment_key", "weekly_new_cases", "evidence_check", "exact_dedup", "one_per_group", "date_rules", "item_outcomes", "running_total_delta", "items_with_labels", "label_agreement", "prompt_text", "useful_outcomes", "pool_cell_rate"]
 
 
 def test_every_query_has_a_twin_or_is_tested_elsewhere():

@@ -220,3 +220,64 @@ def test_dates_and_flags(spark):
 
 def test_cascade_handles_many_partitions(big):
     assert classify.bucketed(big.repartition(9)).count() == big.count()
+
+
+def test_dates_of_wordings(spark):
+    d = dt.date
+    cases = [("on Saturday", d(2016, 2, 8), None, d(2016, 2, 6), d(2016, 2, 6)), ("Monday", None, d(2016, 2, 8), d(2016, 2, 1), d(2016, 2, 1)), (" Today ", d(2016, 2, 8), d(2016, 3, 1), d(2016, 2, 8), d(2016, 2, 8)),
+             ("this week", d(2016, 2, 10), None, d(2016, 2, 8), d(2016, 2, 10)), ("since October", d(2016, 2, 8), None, d(2015, 10, 1), d(2016, 2, 8)), ("since february", d(2016, 2, 8), None, d(2016, 2, 1), d(2016, 2, 8)),
+             ("between 1 and 5 January", d(2016, 2, 8), None, d(2016, 1, 1), d(2016, 1, 5)), ("between 1 and 5 March", d(2016, 2, 8), None, d(2015, 3, 1), d(2015, 3, 5)), ("between 28 and 31 February", d(2016, 2, 8), None, None, None),
+             ("last week", d(2016, 2, 10), None, d(2016, 2, 1), d(2016, 2, 7)), ("2016-01-02", None, None, d(2016, 1, 2), d(2016, 1, 2)), ("long ago", d(2016, 2, 8), None, None, None), (None, d(2016, 2, 8), None, None, None), ("today", None, None, None, None)]
+    rows = spark.createDataFrame([(i, *c[:3]) for i, c in enumerate(cases)], "i int, w string, a date, s date")
+    got = rows.select("i", statements.resolved(F.col("w"), F.col("a"), F.col("s")).alias("d")).orderBy("i").collect()
+    assert [tuple(r["d"]) for r in got] == [c[3:] for c in cases]
+
+
+def test_answers_are_compared(spark):
+    kind = "article_id long, kind string, total_or_new string, country string, state string, city string, number long, start_date date, end_date date"
+    day = dt.date(2016, 2, 6)
+    item = lambda a, n, city=None, kind="cases", start=day: (a, kind, "new", "India", None, city, n, start, day)
+    human = spark.createDataFrame([item(1, 20), item(1, 3, "V"), item(2, 5), item(3, 7), item(4, None, kind="trend")], kind)
+    model = spark.createDataFrame([item(1, 20), item(2, 6), item(3, 7, start=dt.date(2016, 2, 5)), item(3, 9, "X"), item(4, None, kind="trend")], kind)
+    got = sorted((r["article_id"], r["city"] or "", r["outcome"]) for r in statements.compare_items(human, model).collect())
+    assert got == [(1, "", "right"), (1, "V", "missed_item"), (2, "", "wrong_number"), (3, "", "wrong_date"), (3, "X", "invented_item"), (4, "", "right")]
+    h, m = (spark.createDataFrame(r, "article_id long, useful boolean") for r in ([(1, True), (2, False), (3, True)], [(1, True), (2, True), (4, False)]))
+    assert {r["article_id"]: r["outcome"] for r in statements.compare_useful(h, m).collect()} == {1: "right", 2: "wrong_useful", 3: "no_answer", 4: "no_label"}
+
+
+def test_totals_change_across_months(spark):
+    rows = [(i, "a" if i % 3 else None, "cases", dt.date(2016, 1 + i // 8, 1 + i % 8), 10 * i + i % 3, "total" if i % 5 else "new") for i in range(40)]
+    items = spark.createDataFrame(rows, "id int, place string, kind string, start_date date, number long, total_or_new string")
+    got = {r["id"]: r["change"] for r in statements.total_changes(items, ["place"], "id").collect()}
+    last = {}
+    for i, place, _, _, number, t in rows:
+        if t == "total":
+            assert got.pop(i) == (number - last[place] if place in last else None)
+            last[place] = number
+    assert not got
+
+
+def test_prompt_has_the_form_of_the_examples(spark):
+    ex = statements.example("2016-02-08", "Flu.", "{}")
+    row = spark.createDataFrame([("2016-03-01", "Text.")], "scan_date string, text string").select(statements.prompt("Do.", [ex]).alias("p")).first()
+    assert row["p"] == "Do.\n\n<example>\nScan date: 2016-02-08\nArticle:\nFlu.\n\nAnswer:\n{}\n</example>\n\nScan date: 2016-03-01\nArticle:\nText."
+
+
+def test_cell_weights(spark, big):
+    drawn = sampling.draw(big).withColumn("late", F.col("phase") == "late")
+    r = sampling.cell_rate(drawn, big, "late").first()
+    truth = big.where("phase = 'late'").count() / big.count()
+    assert r["n"] == big.count() and r["covered"] == 1.0 and abs(r["rate"] - truth) < 1e-6
+
+
+def test_files_that_are_refused(spark, dealt, tmp_path):
+    (tmp_path / "s.jsonl").write_text('{"record_id": "a"}\n\n{"record_id": "b"}\n')
+    with pytest.raises(ValueError, match="blank"):
+        readers.sample(spark, str(tmp_path / "s.jsonl"))
+    with pytest.raises(ValueError, match="hold a sample"):
+        writers.save_packets(str(tmp_path / "o"), dealt, most=10)
+
+
+def test_pool_keeps_english_alone(spark):
+    rows = spark.createDataFrame([("a", "en"), ("b", "fr"), ("c", None)], "gkg_record_id string, lang string")
+    assert [r[0] for r in pool.english(rows).collect()] == ["a"] and pool.english(rows.drop("lang")).count() == 3
