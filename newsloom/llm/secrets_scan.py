@@ -12,7 +12,8 @@ the words of SAMPLE_DOCS documents as identifiers are. Spans that touch a base s
 dropped: base spans stay. Random strings of letters alone and those under 20 characters are never scored
 and so not found outside an assign match; the README gives recall by length and alphabet.
 
-Everything runs as DataFrame expressions; the driver gets one row for each pair of characters.
+Everything runs as DataFrame expressions; the driver gets one row for each pair of characters. The work grows with a
+text's matches as n ** 1.5 at most (places and overlaps are running values, summed in blocks of the square root).
 
 Defined results: a null text is empty and has no span; repeated rows are scanned one by one; without
 samples both models are flat and add nothing; clashing columns of the input are replaced.
@@ -52,26 +53,76 @@ switch symbol system table target task template test text theme thread time titl
 trigger type unit update upload user valid value vector version video view visible volume week weight width window word worker wrap
 write year zone"""
 SPAN = "array<struct<start:int,kind:int,stop:int>>"
+FOUND = "array<struct<start:int,kind:int,stop:int,v:string>>"
+
+
+def _let(value: Column, f) -> Column:
+    """f(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _running(values: Column, join, zero: int = 0) -> Column:
+    """For each of an array's whole numbers, join() of those before it, from zero on; join must be associative.
+
+    An array that grows value by value is copied at each step. So the values are cut into blocks, as many as the square
+    root of their number: the blocks are joined alone, their values are run through, and each block starts from its own.
+    """
+    none = F.array().cast("array<int>")
+
+    def run(part, start):
+        return F.aggregate(part, F.struct(start.alias("now"), none.alias("got")), lambda acc, x: F.struct(join(acc["now"], x).alias("now"), F.concat(acc["got"], F.array(acc["now"])).alias("got")), lambda acc: acc["got"])
+
+    def cut(all_):
+        width = F.ceil(F.sqrt(F.size(all_))).cast("int")
+        return _let(width, lambda w: F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / w).cast("int")), lambda k: F.slice(all_, k * w + 1, w)))
+
+    def whole(blocks):
+        totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(zero), join))
+        return F.flatten(F.zip_with(blocks, _let(totals, lambda t: run(t, F.lit(zero))), run))
+
+    return _let(values, lambda all_: F.when(F.size(all_) == 0, none).otherwise(_let(cut(all_), whole)))
 
 
 def _spans(text: Column, pattern: str, kind: int, ok=None) -> Column:
-    """Places of a pattern's matches: the text between matches and the matches alternate, so their lengths add up to places.
+    """Places of a pattern's matches that are ok, with the matches (v).
 
-    ok: which matches to keep, by the array of the pattern's first group.
+    The text between matches and the matches alternate, so their lengths add up to places.
     """
-    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    sizes = F.zip_with(F.transform(F.slice(gaps, F.lit(1), F.size(found)), F.length), F.transform(found, F.length), lambda g, m: F.struct(g.alias("g"), m.alias("m")))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("got"))
+    none = F.array().cast(FOUND)
 
-    def step(acc, x):
-        start = acc["at"] + x["g"]
-        return F.struct((start + x["m"]).alias("at"), F.concat(acc["got"], F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + x["m"]).alias("stop")))).alias("got"))
+    def places(found):
+        gaps = F.transform(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), F.length)
+        steps = F.zip_with(gaps, found, lambda g, m: F.struct(g.alias("g"), m.alias("m"), (g + F.length(m)).alias("by")))
 
-    placed = F.aggregate(sizes, zero, step, lambda acc: acc["got"])
-    if ok is not None:
-        kept = F.zip_with(placed, F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda s, v: F.when(ok(v), s))
-        placed = F.filter(kept, lambda s: s.isNotNull())
-    return F.when(text.rlike(pattern), placed).otherwise(F.array().cast(SPAN))
+        def placed(steps):
+            at = _running(F.transform(steps, lambda x: x["by"]), lambda now, x: now + x)
+            spans = F.zip_with(steps, at, lambda x, now: F.struct((now + x["g"]).alias("start"), F.lit(kind).alias("kind"), (now + x["by"]).alias("stop"), x["m"].alias("v")))
+            return spans if ok is None else F.filter(spans, lambda x: ok(x["v"]))
+
+        return _let(steps, placed)
+
+    return F.when(text.rlike(pattern), _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), places)).otherwise(none)
+
+
+def _plain(spans: Column) -> Column:
+    return F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["stop"].alias("stop")))
+
+
+def _apart(tokens: Column, base: Column) -> Column:
+    """The tokens that touch no base span: both in one order by start, the largest end of a base span before a token and
+    the smallest start of one after it tell."""
+    last = (1 << 31) - 1
+    event = lambda x, token: F.struct(x["start"].alias("start"), F.lit(token).alias("token"), x["stop"].alias("stop"), (x["v"] if token else F.lit("")).alias("v"), F.lit(KINDS.index("markov")).alias("kind"))
+    merged = F.array_sort(F.concat(F.transform(base, lambda x: event(x, 0)), F.transform(tokens, lambda x: event(x, 1))))
+
+    def told(all_):
+        before = _running(F.transform(all_, lambda x: F.when(x["token"] == 0, x["stop"]).otherwise(0)), lambda now, x: F.greatest(now, x))
+        after = F.reverse(_running(F.transform(F.reverse(all_), lambda x: F.when(x["token"] == 0, x["start"]).otherwise(last)), lambda now, x: F.least(now, x), last))
+        edges = F.zip_with(before, after, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+        free = F.zip_with(all_, edges, lambda x, e: F.when((x["token"] == 1) & (e["a"] <= x["start"]) & (e["b"] >= x["stop"]), F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["stop"].alias("stop"), x["v"].alias("v"))))
+        return F.filter(free, lambda x: x.isNotNull())
+
+    return F.when((F.size(base) == 0) | (F.size(tokens) == 0), tokens).otherwise(_let(merged, told))
 
 
 def default_samples(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -123,22 +174,25 @@ def train(samples: DataFrame) -> list[float]:
 
 
 def _ratio(token: Column, model: Column) -> Column:
-    n = F.length(token)
-    return F.aggregate(F.sequence(F.lit(1), n - 1), F.lit(0.0), lambda acc, i: acc + F.element_at(model, _code(F.substring(token, i, F.lit(1))) * _WIDE + _code(F.substring(token, i + 1, F.lit(1))) + 1)) / (n - 1)
+    """Mean log-likelihood ratio of a token's character pairs."""
+    def mean(codes):
+        n = F.size(codes) - 1
+        pairs = F.zip_with(F.slice(codes, F.lit(1), n), F.slice(codes, F.lit(2), n), lambda a, b: F.element_at(model, a * _WIDE + b + 1))
+        return F.aggregate(pairs, F.lit(0.0), lambda acc, x: acc + x) / n
+
+    return _let(F.transform(F.slice(F.split(token, ""), F.lit(1), F.length(token)), _code), mean)
 
 
 def scan_secrets(docs: DataFrame, model: list[float], text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs with secrets (array of start, stop, kind, method spans included) and base (base spans alone)."""
-    docs = without(docs, "secrets", "base", "_t", "_extra")
+    docs = without(docs, "secrets", "base", "_t")
     t = F.col("_t")
     table_ = F.split(F.lit(",".join(f"{x:.6f}" for x in model)), ",").cast("array<double>")
-    base = F.array_sort(F.concat(_spans(t, ASSIGN, 0, lambda v: F.length(v) >= 6), _spans(t, ACCESS, 1), _spans(t, HEX, 2)))
-    tokens = F.zip_with(_spans(t, TOKEN, 3), F.regexp_extract_all(t, F.lit(TOKEN), F.lit(0)), lambda s, v: F.struct(s.alias("s"), v.alias("v")))
-    likely = F.filter(tokens, lambda x: x["v"].rlike("[0-9]") & x["v"].rlike("[A-Za-z]"))
-    free = F.filter(likely, lambda x: ~F.exists(F.col("base"), lambda b: (b["start"] < x["s"]["stop"]) & (x["s"]["start"] < b["stop"])))
-    odd = F.transform(F.filter(free, lambda x: _ratio(x["v"], table_) >= threshold), lambda x: x["s"])
+    base = F.array_sort(F.concat(_plain(_spans(t, ASSIGN, 0, lambda m: F.length(F.regexp_extract(m, ASSIGN, 1)) >= 6)), _plain(_spans(t, ACCESS, 1)), _plain(_spans(t, HEX, 2))))
+    likely = _spans(t, TOKEN, 3, lambda v: v.rlike("[0-9]") & v.rlike("[A-Za-z]"))
+    odd = _plain(F.filter(_let(likely, lambda x: _apart(x, F.col("base"))), lambda x: _ratio(x["v"], table_) >= threshold))
     out = docs.withColumn("_t", F.coalesce(F.col(text), F.lit(""))).withColumn("base", base)
-    extra = F.when(t.rlike(r"[A-Za-z+/_=-]*[0-9]") & t.rlike(TOKEN), odd).otherwise(F.array().cast(SPAN))
+    extra = F.when(t.rlike("[0-9]") & t.rlike(TOKEN), odd).otherwise(F.array().cast(SPAN))
     out = out.withColumn("secrets", F.array_sort(F.concat(F.col("base"), extra)))
     return out.drop("_t")
 
