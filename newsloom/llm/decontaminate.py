@@ -7,8 +7,8 @@ scanned once, and matches are carried back to word numbers and to code points of
 Defined results: a null or wordless text has no words and no hit; items without words give no
 window; an empty item table leaves every document clean; repeated rows are judged one by one;
 equal windows of several items count for each of them; the windows of an item without an id give hits
-and spans like all others, but the item is neither in item_ids nor in n_items. Input columns named like
-an output column are replaced.
+and spans like all others, but the item is neither in item_ids nor in n_items; item_ids have the type
+of the items' ids. Input columns named like an output column are replaced.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from newsloom.llm.common import arrow_map, cut, table
 
@@ -131,25 +132,26 @@ def contamination(docs: DataFrame, items: DataFrame, doc_text: str = "text", ite
     The items go to the executors in automata of a checked size; what is over takes another pass.
     """
     spark = docs.sparkSession
+    id_type = items.schema[item_id].dataType
     added = T.StructType([
         T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("n_items", T.LongType()),
-        T.StructField("item_ids", T.ArrayType(T.LongType())), T.StructField("items_sha256", T.StringType()),
+        T.StructField("item_ids", T.ArrayType(id_type)), T.StructField("items_sha256", T.StringType()),
         T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("contaminated", T.BooleanType())])
     carry = [c for c in (docs.columns if carry is None else carry) if c.lower() not in {n.lower() for n in added.names}]
     docs = docs.select(*dict.fromkeys([*carry, doc_text])) if doc_text in docs.columns else docs
     parts = list(_chunks(items, item_id, item_text, limit))
     got = docs
     for k, part in enumerate(parts):
-        got = _pass(got, spark.sparkContext.broadcast(part), doc_text, k == 0, added if k == len(parts) - 1 else None, carry, keep, scrub)
+        got = _pass(got, spark.sparkContext.broadcast(part), id_type, doc_text, k == 0, added if k == len(parts) - 1 else None, carry, keep, scrub)
         if k < len(parts) - 1:
             got = cut(got)
     return got
 
 
-def _pass(docs: DataFrame, broadcast, doc_text: str, first: bool, added: T.StructType | None, carry: list[str], keep: str, scrub: bool) -> DataFrame:
+def _pass(docs: DataFrame, broadcast, id_type: T.DataType, doc_text: str, first: bool, added: T.StructType | None, carry: list[str], keep: str, scrub: bool) -> DataFrame:
     ref = _Ref(broadcast)
-    ranges_type, ids_type = pa.list_(pa.int64()), pa.list_(pa.int64())
-    state = T.StructType([T.StructField("_ranges", T.ArrayType(T.LongType())), T.StructField("_ids", T.ArrayType(T.LongType()))])
+    ranges_type, ids_type = pa.list_(pa.int64()), pa.list_(to_arrow_type(id_type))
+    state = T.StructType([T.StructField("_ranges", T.ArrayType(T.LongType())), T.StructField("_ids", T.ArrayType(id_type))])
     base = [c for c in docs.columns if c not in state.names]
     out = [c for c in base if added is None or c in carry]
     schema = T.StructType([docs.schema[c] for c in out] + list((added or state).fields))

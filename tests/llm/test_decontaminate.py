@@ -92,3 +92,13 @@ def test_items_without_an_id_give_hits_and_spans(case, limit):
     assert out[2]["contaminated"] and out[2]["n_items"] == 0
     kept = {r["doc_id"]: r["text"] for r in D.contamination(docs, nameless, keep="clean", scrub=True, limit=limit).collect()}
     assert 2 not in kept and all("thirteen" not in (t or "") for t in kept.values())
+
+
+def test_ids_of_any_type(spark):
+    docs = spark.createDataFrame([(1, "x a b c d y"), (2, None)], "doc_id long, text string")
+    items = spark.createDataFrame([("q/10", "a b"), ("q/9", "c d"), (None, "x")], "item_id string, text string")
+    for limit in (D.MAX_WINDOW_CHARS, 3):
+        got = {r["doc_id"]: r for r in D.contamination(docs, items, carry=["doc_id"], limit=limit).collect()}
+        assert got[1]["item_ids"] == ["q/10", "q/9"] and got[1]["n_items"] == 2 and got[1]["n_hit"] == 5 and got[2]["item_ids"] == []
+    small = items.where("item_id is not null").selectExpr("cast(substring(item_id, 3) as int) as item_id", "text")
+    assert D.contamination(docs, small, carry=["doc_id"]).orderBy("doc_id").first()["item_ids"] == [9, 10]
