@@ -7,7 +7,8 @@ probability that an element belongs to the main text. Decoding takes the most pr
 which a dropped element drops all below it, so that no choice contradicts an ancestor's; the blocks
 of text in kept elements are the page's text.
 
-Defined results: null, empty and textless pages give an empty text; broken markup is read as a
+Defined results: null, empty and textless pages give an empty text; a page of text
+alone is all main text; broken markup is read as a
 browser would roughly read it; nothing is capped; repeated rows are extracted one by one; columns of
 the input that clash with output columns are replaced. A line break element is white space.
 """
@@ -28,7 +29,7 @@ from pyspark.sql import types as T
 from newsloom.llm.common import arrow_map, table
 from newsloom.llm.dom import attributes, parse
 
-PAGES, SEED, TREES, DEPTH, RATE, BINS = 500, 11, 60, 4, 0.25, 32
+PAGES, SEED, TREES, DEPTH, RATE, BINS = 800, 11, 100, 4, 0.25, 32
 
 # Words of attributes by what they name.
 WORD_GROUPS = [
@@ -53,8 +54,12 @@ _ABOVE = [i for i, g in enumerate(TAG_GROUPS) if g.split()[0] in ("article", "se
 _WORDS = re.compile("[a-z]+")
 
 
-@lru_cache(maxsize=20_000)
 def _groups(raw: str) -> tuple[int, ...]:
+    return _known_groups(raw) if len(raw) <= 300 else _known_groups.__wrapped__(raw)
+
+
+@lru_cache(maxsize=20_000)
+def _known_groups(raw: str) -> tuple[int, ...]:
     a = attributes(raw)
     text = re.sub(r"([a-z])([A-Z])", r"\1 \2", " ".join(a.get(k, "") for k in ("class", "id", "role", "itemprop", "aria-label")))
     return tuple(sorted({_GROUP[w] for w in _WORDS.findall(text.lower()) if w in _GROUP}))
@@ -191,7 +196,7 @@ def _made_page(r: random.Random) -> tuple[str, set[str]]:
         out, left = [], words
         while left > 0:
             k = min(left, r.randint(1, 18))
-            s = " ".join("".join(r.choice(("th", "er", "on", "an", "re", "he", "in", "ed", "a", "of")) for _ in range(r.randint(1, 5))) for _ in range(k))
+            s = " ".join("".join(r.choice("bcdfghklmnprstvw") * r.randint(0, 1) + r.choice("aeiouéü") for _ in range(r.choice((1, 1, 2, 2, 3, 4)))) + r.choice(("", "", "s", "n")) for _ in range(k))
             out.append(s.capitalize() + r.choice((".", ".", ",", "")))
             left -= k
         return " ".join(out) + f" {mark}"
@@ -199,6 +204,8 @@ def _made_page(r: random.Random) -> tuple[str, set[str]]:
     def tag(name: str, inner: str, *words: str, close: bool = True) -> str:
         attr = r.choice(("class", "class", "id")) if words else ""
         style = r.choice(words) if words else ""
+        if not words and r.random() < 0.15:  # a name that tells nothing
+            attr, style = "class", r.choice(("css-", "c", "td_", "x-", "wp-", "u-")) + str(r.randint(1, 99))
         return f"<{name}" + (f' {attr}="{style}"' if style else "") + f">{inner}" + (f"</{name}>" if close else "")
 
     def links(n: int) -> str:
@@ -243,7 +250,7 @@ def _made_page(r: random.Random) -> tuple[str, set[str]]:
         if kind < 7:
             return tag("p", text)
         if kind == 7:
-            return f"<p><b>{text}<br>"
+            return r.choice((f"<p><b>{text}<br>", f"<p>{text}", f"<p><strong>{say(2, True)}</strong> {text}<br><br>", f"<p><span>{text}</span>"))
         if kind == 8:
             return tag(f"h{r.randint(2, 4)}", say(r.randint(1, 7), True)) + tag("p", text)
         if kind == 9:
@@ -274,6 +281,12 @@ def _made_page(r: random.Random) -> tuple[str, set[str]]:
         core = tag("main", tag("article", inner))
     else:
         core = tag("div", tag("section", inner, "story", "text", "article"), "main", "page", "wrap")
+    if r.random() < 0.2:  # no element says that this is the article
+        core = r.choice((inner, tag("div", inner), tag("div", tag("div", inner)), tag("section", inner), tag("table", tag("tr", tag("td", inner)))))
+    if r.random() < 0.08:  # a page of text alone, or of text with a little about it
+        some = [say(r.choice((1, 3, 8, 30, 120)), True) for _ in range(r.choice((1, 1, 2, 4)))]
+        bare = r.choice(("".join(f"<p>{x}</p>" for x in some), "<br>".join(some), some[0], "".join(f"<div>{x}</div>" for x in some), tag("div", "".join(f"<p>{x}</p>" for x in some))))
+        return r.choice((bare, f"<body>{bare}</body>", f"<html><head><title>{say(3, False)}</title></head><body>{bare}</body></html>", f"<body>{bare}{tag('footer', say(4, False))}</body>")), main
     around = [side() for _ in range(r.choice((1, 1, 2, 3, 5)))]
     cut = r.randint(0, len(around))
     top = tag("nav", links(r.randint(3, 8))) if r.random() < 0.8 else ""

@@ -1,14 +1,15 @@
 """Quality classifier: document evidence shrunk toward site posteriors by hierarchical empirical Bayes.
 
-Two logistic models, of poor quality and of toxicity, are trained on at most SAMPLE labelled rows
-(those of the smallest id hashes, a documented bound); their features are shares of character kinds,
+Two logistic models, of poor quality and of toxicity, are trained on at most SAMPLE labelled rows and SAMPLE_BYTES of
+their texts (those of the smallest id hashes, a documented bound; conflicting labels of one id count as the larger); their features are shares of character kinds,
 repetition, and chosen words and beginnings of words of the whole text. Every document's probability is evidence.
 
 Sites have two levels, host (`source`) and path (`source`, `lang`). Grouped sums of the evidence give
-each level's mean; a beta prior, whose strength comes from the spread of the level's means by the
-method of moments, shrinks a path toward its host and a host toward the global mean, the more the
-sparser it is. A document's log-odds then move by WEIGHT times the log-odds of its path's posterior
-over the global mean.
+each level's mean; a beta prior shrinks a path toward its host and a host toward the global mean, the more the sparser it
+is. The prior's strength comes from the variance between the level's sites by the method of moments: of the spread of the
+sites' means, what their documents' own spread explains is taken off, so that sparse sites that differ by chance alone
+are shrunk whole. A document's log-odds then move by WEIGHT times the log-odds of its path's posterior, from all other
+documents' evidence, over the global mean.
 
 Defined results: a null or empty text has neutral features and is judged like an empty one; null
 hosts and paths form sites of their own; without labelled rows, or with one class alone, evidence is
@@ -25,11 +26,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from newsloom.llm.common import arrow_map, cut, table, without
 from newsloom.llm.shingles import _words, mixed, shingle_sets
 
-SAMPLE = 6000
+SAMPLE, SAMPLE_BYTES = 6000, 64_000_000
 SURE = 5.5
 MIN_TEXTS = 4
 STEMS = (4, 5)  # bytes of the beginnings of words that are features
@@ -131,7 +133,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Mod
     """Models of poor quality and of toxicity from a bounded sample of labelled rows."""
     chosen = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "quality", "toxic").toArrow()
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
+    # a window over the sample alone
+    rows = rows.withColumn("_sum", F.sum("_bytes").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id", "_bytes").rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.where(F.col("_sum") <= SAMPLE_BYTES).select("text", "quality", "toxic").toArrow()
     if not rows.num_rows:
         rows = pa.table({"text": [""], "quality": [1], "toxic": [0]})
     rows = rows.filter(pa.array(_originals(rows.column("text").combine_chunks())))
@@ -175,52 +180,71 @@ def _logit(p: Column) -> Column:
     return F.log(q / (1 - q))
 
 
+KINDS = ("bad", "toxic")
+
+
+def strength(free: int, base: float, spread: float, within: float, left: int, mean: float) -> float:
+    """A beta prior's size by the method of moments, from the variance between sites.
+
+    spread: the sum over sites of size times squared distance of their mean from the level above; by chance alone, with
+    no difference between sites, it is free (sites less levels above) times the documents' variance, which is within
+    (squared distances from the own site's mean) over left (documents less sites), or that of a coin where no site has
+    two documents. What is more, over base (documents less the sum of squared sizes over those of the level above), is
+    the variance between sites. With none the prior is as strong as may be.
+    """
+    chance = within / left if left > 0 else mean * (1 - mean)
+    v = max((spread - free * chance) / base, 1e-9) if base > 0 else 1e-9
+    return min(max(mean * (1 - mean) / v - 1, 1.0), 1e6)
+
+
 def posteriors(evidence: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:
-    """(host, path, o_bad, o_toxic): how far each path's posterior moves log-odds from the global mean."""
-    kinds = ("bad", "toxic")
-    paths = evidence.groupBy(host, path).agg(F.count("*").alias("n"), *[F.sum(_p(F.col(f"e_{k}"))).alias(f"s_{k}") for k in kinds])
+    """For each (host, path): n and hn, its and its host's documents, and for each kind the sums s_ and hs_ of their
+    evidence, with the sizes c_ and hc_ of the priors and the global mean mu_ (equal in all rows)."""
+    sums = lambda p, of: [F.sum(of).alias(f"s_{p}")]
+    paths = evidence.groupBy(host, path).agg(F.count("*").alias("n"), *[x for k in KINDS for x in (*sums(k, _p(F.col(f"e_{k}"))), F.sum(F.pow(_p(F.col(f"e_{k}")), 2)).alias(f"q_{k}"))])
     paths = cut(paths)
-    hosts = cut(paths.groupBy(host).agg(F.sum("n").alias("hn"), *[F.sum(f"s_{k}").alias(f"hs_{k}") for k in kinds]))
-    total = hosts.agg(F.sum("hn").alias("n"), *[F.sum(f"hs_{k}").alias(k) for k in kinds]).first()
-    if not total["n"]:
-        return paths.select(host, path, *[F.lit(0.0).alias(f"o_{k}") for k in kinds])
-    mu = {k: min(max(total[k] / total["n"], 1e-6), 1 - 1e-6) for k in kinds}
-
-    def strength(spread: float | None, mean: float) -> float:
-        """Beta prior's size from the variance of the level's means around those of the level above."""
-        v = max(spread or 0.0, 1e-9)
-        return min(max((mean * (1 - mean) - v) / v, 1.0), 1e6)
-
-    over = hosts.agg(*[(F.sum(F.col("hn") * F.pow(F.col(f"hs_{k}") / F.col("hn") - mu[k], 2)) / total["n"]).alias(k) for k in kinds]).first()
-    for k in kinds:
-        c = strength(over[k], mu[k])
-        hosts = hosts.withColumn(f"h_{k}", (F.lit(c * mu[k]) + F.col(f"hs_{k}")) / (F.lit(c) + F.col("hn")))
+    hosts = paths.groupBy(host).agg(F.sum("n").alias("hn"), *[x for k in KINDS for x in (F.sum(f"s_{k}").alias(f"hs_{k}"), F.sum(f"q_{k}").alias(f"hq_{k}"))])
     named = hosts.withColumnRenamed(host, "_host")
     both = cut(paths.join(named, paths[host].eqNullSafe(named["_host"])).drop("_host"))
-    within = both.agg(*[(F.sum(F.col("n") * F.pow(F.col(f"s_{k}") / F.col("n") - F.col(f"h_{k}"), 2)) / total["n"]).alias(k) for k in kinds]).first()
-    for k in kinds:
-        c = strength(within[k], mu[k])
-        both = both.withColumn(f"o_{k}", _logit((F.lit(c) * F.col(f"h_{k}") + F.col(f"s_{k}")) / (F.lit(c) + F.col("n"))) - _logit(F.lit(mu[k])))
-    return cut(both.select(host, path, "o_bad", "o_toxic"))
+    hosts = both.groupBy(host).agg(F.first("hn").alias("hn"), *[F.first(f"h{x}_{k}").alias(f"h{x}_{k}") for k in KINDS for x in "sq"])
+    total = hosts.agg(F.count("*").alias("k"), F.sum("hn").alias("n"), F.sum(F.col("hn") * F.col("hn")).cast("double").alias("squares"), *[F.sum(f"hs_{k}").alias(k) for k in KINDS],
+                      *[F.sum(F.greatest(F.col(f"hq_{k}") - F.col(f"hs_{k}") * F.col(f"hs_{k}") / F.col("hn"), F.lit(0.0))).alias(f"w_{k}") for k in KINDS]).first()
+    if not total["n"]:
+        return both.select(host, path, "n", "hn", *[c for k in KINDS for c in (F.lit(0.0).alias(f"s_{k}"), F.lit(0.0).alias(f"hs_{k}"), F.lit(1.0).alias(f"c_{k}"), F.lit(1.0).alias(f"hc_{k}"), F.lit(0.5).alias(f"mu_{k}"))])
+    mu = {k: min(max(total[k] / total["n"], 1e-6), 1 - 1e-6) for k in KINDS}
+    over = hosts.agg(*[F.sum(F.col("hn") * F.pow(F.col(f"hs_{k}") / F.col("hn") - mu[k], 2)).alias(k) for k in KINDS]).first()
+    n = total["n"]
+    hc = {k: strength(total["k"] - 1, n - total["squares"] / n, over[k], total[f"w_{k}"], n - total["k"], mu[k]) for k in KINDS}
+    inner = both.agg(F.count("*").alias("k"), F.sum(F.col("n") * F.col("n") / F.col("hn")).alias("squares"),
+                     *[F.sum(F.col("n") * F.pow(F.col(f"s_{k}") / F.col("n") - F.col(f"hs_{k}") / F.col("hn"), 2)).alias(f"o_{k}") for k in KINDS],
+                     *[F.sum(F.greatest(F.col(f"q_{k}") - F.col(f"s_{k}") * F.col(f"s_{k}") / F.col("n"), F.lit(0.0))).alias(f"w_{k}") for k in KINDS]).first()
+    c = {k: strength(inner["k"] - total["k"], n - inner["squares"], inner[f"o_{k}"], inner[f"w_{k}"], n - inner["k"], mu[k]) for k in KINDS}
+    return cut(both.select(host, path, "n", "hn", *[x for k in KINDS for x in (F.col(f"s_{k}"), F.col(f"hs_{k}"), F.lit(c[k]).alias(f"c_{k}"), F.lit(hc[k]).alias(f"hc_{k}"), F.lit(mu[k]).alias(f"mu_{k}"))]))
+
+
+_SITE = ["n", "hn", *[f"{x}_{k}" for k in KINDS for x in ("s", "hs", "c", "hc", "mu")]]
 
 
 def judged(evidence: DataFrame, sites: DataFrame, host: str = "source", path: str = "lang", weight: float = WEIGHT) -> DataFrame:
-    """evidence with p_bad, p_toxic, site_bad, site_toxic and keep."""
-    sites = sites.select(F.col(host).alias("_h"), F.col(path).alias("_l"), "o_bad", "o_toxic")
+    """evidence with p_bad, p_toxic, site_bad, site_toxic and keep. A document's own evidence is no part of its site's."""
+    sites = sites.select(F.col(host).alias("_h"), F.col(path).alias("_l"), *[F.col(c).alias(f"_{c}") for c in _SITE])
     if sites.count() <= MAX_PATHS:
         sites = F.broadcast(sites)
     out = evidence.join(sites, evidence[host].eqNullSafe(sites["_h"]) & evidence[path].eqNullSafe(sites["_l"]), "left")
-    for k in ("bad", "toxic"):
-        out = out.withColumns({f"p_{k}": _p(F.col(f"e_{k}") + weight * F.coalesce(f"o_{k}", F.lit(0.0))), f"site_{k}": F.coalesce(f"o_{k}", F.lit(0.0))})
-    return out.withColumn("keep", (F.col("p_bad") < 0.5) & (F.col("p_toxic") < 0.5)).drop("_h", "_l", "o_bad", "o_toxic", "e_bad", "e_toxic")
+    for k in KINDS:
+        own = _p(F.col(f"e_{k}"))
+        above = (F.col(f"_hc_{k}") * F.col(f"_mu_{k}") + F.greatest(F.col(f"_hs_{k}") - own, F.lit(0.0))) / (F.col(f"_hc_{k}") + F.col("_hn") - 1)
+        here = (F.col(f"_c_{k}") * above + F.greatest(F.col(f"_s_{k}") - own, F.lit(0.0))) / (F.col(f"_c_{k}") + F.col("_n") - 1)
+        out = out.withColumn(f"site_{k}", F.coalesce(_logit(here) - _logit(F.col(f"_mu_{k}")), F.lit(0.0)))
+        out = out.withColumn(f"p_{k}", _p(F.col(f"e_{k}") + weight * F.col(f"site_{k}")))
+    return out.withColumn("keep", (F.col("p_bad") < 0.5) & (F.col("p_toxic") < 0.5)).drop("_h", "_l", "e_bad", "e_toxic", *[f"_{c}" for c in _SITE])
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """docs without the rejected ones. The texts are scored in two passes, so that they cross no shuffle."""
-    docs = without(docs, "e_bad", "e_toxic", "p_bad", "p_toxic", "site_bad", "site_toxic", "keep", "_h", "_l", "o_bad", "o_toxic")
-    models = train(docs, labels, **options)
-    sites = posteriors(cut(scored(docs, models, ["source", "lang"])))
-    return judged(scored(docs, models, docs.columns), sites).where("keep").select(*docs.columns)
+    """docs without the rejected ones. The texts are scored once and written with their evidence; they cross no shuffle."""
+    docs = without(docs, "e_bad", "e_toxic", "p_bad", "p_toxic", "site_bad", "site_toxic", "keep", "_h", "_l", *[f"_{c}" for c in _SITE])
+    evidence = cut(scored(docs, train(docs, labels, **options), docs.columns))
+    return judged(evidence, posteriors(evidence)).where("keep").select(*docs.columns)
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

@@ -29,11 +29,70 @@ def test_held_out_accuracy(spark):
     assert right >= 0.97 * len(rows) and sum(kept) >= 0.99 * len(kept), (right, len(rows), sum(kept), len(kept))
 
 
+def sites_by_hand(rows):
+    """site_bad of every document, read off the module's description: rows of (host, path, log-odds)."""
+    p = lambda x: 1 / (1 + np.exp(-x))
+    odds = lambda q: np.log(min(max(q, 1e-6), 1 - 1e-6)) - np.log(1 - min(max(q, 1e-6), 1 - 1e-6))
+    values = [(h, q, p(x)) for h, q, x in rows]
+    n, mu = len(values), float(np.mean([v for *_, v in values]))
+
+    def by(key):
+        out = {}
+        for row in values:
+            out.setdefault(key(row), []).append(row[2])
+        return out
+
+    hosts, paths = by(lambda r: r[0]), by(lambda r: r[:2])
+
+    def size(groups, above):
+        spread = sum(len(g) * (np.mean(g) - above(k)[0]) ** 2 for k, g in groups.items())
+        left = n - len(groups)
+        chance = sum(((np.array(g) - np.mean(g)) ** 2).sum() for g in groups.values()) / left if left else mu * (1 - mu)
+        free = len(groups) - len({above(k)[2] for k in groups})
+        base = n - sum(len(g) ** 2 / above(k)[1] for k, g in groups.items())
+        v = max((spread - free * chance) / base, 1e-9) if base > 1e-12 else 1e-9
+        return min(max(mu * (1 - mu) / v - 1, 1.0), 1e6)
+
+    hc, c = size(hosts, lambda k: (mu, n, None)), size(paths, lambda k: (np.mean(hosts[k[0]]), len(hosts[k[0]]), k[0]))
+    out = []
+    for h, q, v in values:
+        above = (hc * mu + sum(hosts[h]) - v) / (hc + len(hosts[h]) - 1)
+        out.append(odds((c * above + sum(paths[h, q]) - v) / (c + len(paths[h, q]) - 1)) - odds(mu))
+    return out
+
+
+def sites(spark, rows):
+    e = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, source string, lang string, e_bad double").withColumn("e_toxic", F.lit(-4.0))
+    return [r["site_bad"] for r in Q.judged(e, Q.posteriors(e)).orderBy("i").collect()]
+
+
+def test_posteriors_equal_brute_force(spark):
+    r = np.random.default_rng(4)
+    rows = [(f"h{i % 9}" if i % 9 else None, f"p{i % 2}" if i % 3 else None, float(r.normal((i % 9) / 3 - 2, 1))) for i in range(500)]
+    assert sites(spark, rows) == pytest.approx(sites_by_hand(rows), abs=1e-6)
+    lone = [(f"h{i}", "p", float(r.normal(-2, 1))) for i in range(300)]
+    assert sites(spark, lone) == pytest.approx(sites_by_hand(lone), abs=1e-6)
+    assert sites(spark, rows[:1]) == pytest.approx([0.0], abs=1e-6)
+
+
 def test_sparse_sites_shrink_most(spark):
-    rows = [("big", "p", 3.0)] * 400 + [("tiny", "p", 3.0)] * 2 + [(f"h{i}", "p", -3.0) for i in range(400)]
-    e = spark.createDataFrame(rows, "source string, lang string, e_bad double").withColumn("e_toxic", F.lit(-4.0))
-    o = {r["source"]: r["o_bad"] for r in Q.posteriors(e).collect()}
-    assert o["big"] > o["tiny"] > o["h1"]
+    r = np.random.default_rng(5)
+    rows = [(h, "p", float(r.normal(m, 0.5))) for h, m, n in [("big", 3, 400), ("tiny", 3, 2), *((f"h{i}", -3 + i % 3, 40) for i in range(20))] for _ in range(n)]
+    got = dict(zip([h for h, *_ in rows], sites(spark, rows), strict=True))
+    assert got["big"] > got["tiny"] > got["h2"]
+
+
+def test_lone_documents_move_nothing(spark):
+    """Sites of one document that differ by chance alone are shrunk whole."""
+    r = np.random.default_rng(6)
+    assert max(map(abs, sites(spark, [(f"h{i}", "p", float(r.normal(0, 2))) for i in range(400)]))) < 0.01
+
+
+def test_training_texts_are_bounded_in_bytes(spark, docs, monkeypatch):
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    whole = Q.train(docs, labels)[0].b
+    monkeypatch.setattr(Q, "SAMPLE_BYTES", 0)
+    assert Q.train(docs, labels)[0].b != whole
 
 
 def test_quality_edge_cases(spark, docs, none):
@@ -110,7 +169,7 @@ def test_blocks_references_and_white_space():
 
 
 def test_real_pages(spark):
-    pages = table(spark, SF, "pages").limit(60).collect()
+    pages = table(spark, SF, "pages").collect()
     got = H.extracted([p["html"] for p in pages], H.trained())
     for p, text in zip(pages, got, strict=True):
         inner = re.search(r"<article>(.*?)</article>", p["html"], re.S)[1]
@@ -120,6 +179,30 @@ def test_real_pages(spark):
         assert text == "\n".join(b for b in blocks if b)
 
 
+@pytest.mark.parametrize("page", ['<a "' * 50_000, '<a "x>"' * 30_000, "<div>" * 50_000, "<b><p></p>" * 40_000, "<ul><li>" * 40_000, "<table><tr><td>" * 20_000, "<" * 200_000, "<a href=x>" * 40_000, "<p " + 'a="' * 60_000 + ">x"])
+def test_hostile_markup_takes_seconds(page):
+    import time
+
+    began = time.time()
+    H.extracted([page], H.trained())
+    assert time.time() - began < 15
+
+
+BARE = [
+    ("<p>Only paragraph here, nothing else.</p>", "Only paragraph here, nothing else."),
+    ("Plain text without any tags at all.", "Plain text without any tags at all."),
+    ("<html><body><nav><ul><li><a href=/>Home</a></li><li><a href=/x>About</a></li></ul></nav><div class='xyz-12'><h1>Small title here</h1><p>This is a short article of one sentence.</p></div><footer>Copyright 2020</footer></body></html>",
+     "Small title here\nThis is a short article of one sentence."),
+    ("<body><div id=hd><a href=/>Site</a></div><div class=k9><p>First paragraph of the story, with commas.</p><p>Second paragraph of the story, a little longer than the first.</p></div><div class=sidebar><ul><li><a href=1>Other</a><li><a href=2>More</a></ul></div></body>",
+     "First paragraph of the story, with commas.\nSecond paragraph of the story, a little longer than the first."),
+]
+
+
+@pytest.mark.parametrize(("page", "text"), BARE)
+def test_pages_that_name_no_article(page, text):
+    assert H.extracted([page], H.trained()) == [text]
+
+
 def test_no_contradictory_choices():
     r = np.random.default_rng(0)
     for _ in range(100):
