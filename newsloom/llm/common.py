@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+WIDE = 1000  # bucket totals that are summed in one window
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -85,26 +88,35 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() in taken])
 
 
+def _eq(a: DataFrame, b: DataFrame, on: list[str], prefix: str = "_r_") -> Column:
+    out = F.lit(True)
+    for k in on:
+        out = out & a[k].eqNullSafe(b[prefix + k])
+    return out
+
+
 def running(df: DataFrame, key: list[str], order: list[Column], sums: dict[str, Column], buckets: Column | None = None, per_bucket: int = 500) -> DataFrame:
     """Exclusive running sums of `sums` within `key`, without a task that holds a whole key.
 
     Rows are spread over hash buckets of the order's first columns; each bucket is summed in its own
-    window, and the bucket totals (one row a bucket and key) are summed in a second, small window.
+    window, the bucket totals (one row a bucket and key) in windows of WIDE buckets, and the totals of those, one row
+    for WIDE * per_bucket rows of df, in a last one.
     The order within a key is (bucket, order), the same at each run. Adds one column per entry.
     buckets: how many a row's key has, best in proportion to its rows; else one for per_bucket rows of df.
     """
     buckets = F.lit(max(1, -(-df.count() // per_bucket))) if buckets is None else buckets
     df = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), buckets).cast("int"))
-    inner = Window.partitionBy(*key, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    outer = Window.partitionBy(*key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    totals = df.groupBy(*key, "_bucket").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
-    totals = totals.select(*key, "_bucket", *[F.coalesce(F.sum(f"_t_{n}").over(outer), F.lit(0)).alias(f"_o_{n}") for n in sums])
-    parts = df.withColumns({f"_i_{n}": F.coalesce(F.sum(c).over(inner), F.lit(0)) for n, c in sums.items()})
-    on = parts["_bucket"] == totals["_bucket"]
-    for k in key:
-        on = on & parts[k].eqNullSafe(totals[k])
-    joined = parts.join(totals, on)
-    return joined.select(*[parts[c] for c in df.columns if c != "_bucket"], *[(parts[f"_i_{n}"] + totals[f"_o_{n}"]).alias(n) for n in sums])
+    before = lambda by, at: Window.partitionBy(*by).orderBy(*at).rowsBetween(Window.unboundedPreceding, -1)
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    wide = F.floor(F.col("_bucket") / WIDE).cast("int").alias("_wide")
+    totals = df.groupBy(*key, "_bucket").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()]).select("*", wide)
+    inside = totals.select("*", *[zero(F.sum(f"_t_{n}").over(before([*key, "_wide"], ["_bucket"]))).alias(f"_o_{n}") for n in sums])
+    high = totals.groupBy(*key, "_wide").agg(*[F.sum(f"_t_{n}").alias(f"_h_{n}") for n in sums])
+    high = high.select(*[F.col(k).alias(f"_r_{k}") for k in [*key, "_wide"]], *[zero(F.sum(f"_h_{n}").over(before(key, ["_wide"]))).alias(f"_h_{n}") for n in sums])
+    offsets = inside.join(high, _eq(inside, high, [*key, "_wide"])).select(*[inside[k].alias(f"_r_{k}") for k in [*key, "_bucket"]], *[(inside[f"_o_{n}"] + high[f"_h_{n}"]).alias(f"_o_{n}") for n in sums])
+    parts = df.withColumns({f"_i_{n}": zero(F.sum(c).over(before([*key, "_bucket"], order))) for n, c in sums.items()})
+    joined = parts.join(offsets, _eq(parts, offsets, [*key, "_bucket"]))
+    return joined.select(*[parts[c] for c in df.columns if c != "_bucket"], *[(parts[f"_i_{n}"] + offsets[f"_o_{n}"]).alias(n) for n in sums])
 
 
 def components(edges: DataFrame) -> DataFrame:
