@@ -11,22 +11,21 @@ Distributed form:
 1. Texts with one shingle set form a class, kept once (a partial aggregation, so copies cost nothing).
 2. Shingles of very many documents (common lines and passages) are found by counting all shingles in
    CELLS cells; a cell is common when its count is far above the mean.
-3. Classes are routed to trees. Up to EXACT_SIZE shingles by prefix: the first n - ceil(0.8 n) + 1
-   hashes, common ones last, at least one of which linked texts share. From MINIMA_SIZE shingles by
-   group minima: the smallest uncommon hash in each of ROUTES of the 64 groups, equal with the
-   probability of the similarity in each, so that a link is missed with a probability of about
-   0.2 ** 20 = 1e-14. Texts with a share of common shingles of over COMMON_SHARE are also routed by
-   the minima of all their shingles; with less, 0.58 of the uncommon ones are the same (1e-9 at
-   worst). The two ranges overlap by a factor of 1.25, the largest ratio of linked sizes.
+3. Classes are routed to trees by prefix: the first n - ceil(0.8 n) + 1 hashes, common ones last, at least one of which
+   linked texts share, at any size. So no link is missed.
 4. A tree with up to TREE members is searched with the bound; pairs that pass are reduced to a
    spanning forest. A larger tree's members all get an edge to its smallest member: no task holds it.
 5. Components of those edges are candidate groups. In each the sets are made anew from the text and
-   compared exactly; pairs that are already connected need no comparison. Groups over BLOCK texts
-   are cut into blocks: leaders of the blocks' components meet in further rounds, then every text
-   outside the group's largest component is compared with the blocks of all other texts.
+   compared exactly; pairs that are already connected need no comparison. Groups over BLOCK texts or WEIGHT shingles
+   are cut into blocks: leaders of the blocks' components meet in further rounds. What is outside the group's largest
+   component then probes trees of the group's points (PROBE of them each): the texts of those alone that pass a bound
+   with another component's are fetched and compared.
+
+Classes are numbered, and their texts found by id and text hash: ids may repeat or be null.
 
 Defined results: null and wordless texts have size 0 and are their own component; a text with fewer
-than five words is one shingle; repeated rows and equal ids give equal results; clashing columns of
+than five words is one shingle; repeated rows and equal ids give equal results, and different texts of one id are
+different documents; a component's id is its smallest one that is not null; clashing columns of
 the input are ignored.
 """
 
@@ -38,18 +37,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from newsloom.llm.common import arrow_map, components, cut, table
+from newsloom.llm.common import arrow_map, components, cut, table, without
 from newsloom.llm.shingles import mixed, shingle_sets
 
 PART, WHOLE = 80, 100
 GROUPS = 64
-MINIMA_SIZE, EXACT_SIZE, ROUTES = 115, 144, 24
-TREE, BLOCK, FANOUT = 1024, 1500, 16
-MAX_IDS = 500_000  # members of candidate groups that are broadcast to find their texts
+TREE, BLOCK, FANOUT, PROBE = 1024, 1500, 16, 4096
+WEIGHT = 4_000_000  # shingles of a block's texts, 8 bytes each
+MAX_IDS = 200_000  # members of candidate groups that are broadcast to find their texts
 ROUNDS = 4  # of leaders, while they at least halve
-CELLS, COMMON, COMMON_SHARE = 1 << 18, 1024, 0.4
+CELLS, COMMON = 1 << 18, 1024
 
 
 def needed(a, b):
@@ -80,27 +78,13 @@ def folded(p: np.ndarray, g: int) -> np.ndarray:
     return p.reshape(-1, g).sum(0, dtype=np.int64) if len(p) > g else p.astype(np.int64)
 
 
-def _minima(s: np.ndarray, salt: int) -> np.ndarray:
-    """The smallest hashes of the first ROUTES groups; an empty group gives the next group's, which routes as well."""
-    heads = s[np.minimum(np.searchsorted(s, np.arange(ROUTES, dtype=np.uint64) << np.uint64(58)), len(s) - 1)]
-    return mixed(np.unique(heads) ^ np.uint64(salt))
-
-
 def routes(s: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """The keys of the trees that a set goes to; common: which cells hold common shingles."""
-    n, out = len(s), []
-    if not n:
-        return np.array([], np.int64)
+    """The keys of the trees that a set goes to, its prefix; common: which cells hold common shingles.
+
+    Any order that all sets share will do; the rarer a prefix's shingles, the smaller the trees.
+    """
     far = common[(s & np.uint64(CELLS - 1)).astype(np.int64)]
-    rare = s[~far]
-    if n <= EXACT_SIZE:
-        out.append(np.concatenate([rare, s[far]])[: n + PART * n // -WHOLE + 1])
-    if n >= MINIMA_SIZE:
-        if len(rare):
-            out.append(_minima(rare, 1))
-        if n - len(rare) >= COMMON_SHARE * n:
-            out.append(_minima(s, 2))
-    return np.concatenate(out).astype(np.int64, casting="unsafe")
+    return np.concatenate([s[~far], s[far]])[: len(s) + PART * len(s) // -WHOLE + 1].astype(np.int64, casting="unsafe") if len(s) else np.array([], np.int64)
 
 
 def row_groups(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.Table]:
@@ -209,8 +193,12 @@ def common_cells(docs: DataFrame, text: str = "text", floor: int = COMMON) -> np
     return total > mean + 8 * mean**0.5 + floor
 
 
+def _tie(text: str):
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
 def signatures(docs: DataFrame, common: np.ndarray, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n, s1, s2, keys, point): a set's size, its 128-bit sum, its routes and its group counts."""
+    """(doc_id, tie, n, s1, s2, keys, point): the text's hash, its set's size, 128-bit sum, routes and group counts."""
     packed = np.packbits(common).tobytes()
 
     def run(batches):
@@ -223,14 +211,15 @@ def signatures(docs: DataFrame, common: np.ndarray, doc_id: str = "doc_id", text
                     m = mixed(s)
                     rows.append((len(s), m.sum(dtype=np.uint64).astype(np.int64), mixed(m ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64), routes(s, common), point(s).tobytes() if len(s) else b""))
                 cols = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(list(cols[3]), pa.list_(pa.int64())), pa.array(cols[4], pa.binary())], names=["doc_id", "n", "s1", "s2", "keys", "point"])
+                keys = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(k) for k in cols[3]])).astype(np.int32)), pa.array(np.concatenate(cols[3])))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tie"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), keys, pa.array(cols[4], pa.binary())], names=["doc_id", "tie", "n", "s1", "s2", "keys", "point"])
 
-    light = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return arrow_map(light, run, "doc_id long, n long, s1 long, s2 long, keys array<long>, point binary")
+    light = docs.select(F.col(doc_id).cast("long").alias("doc_id"), _tie(text).alias("tie"), F.col(text).alias("text"))
+    return arrow_map(light, run, "doc_id long, tie long, n long, s1 long, s2 long, keys array<long>, point binary")
 
 
 def _bounded_pairs(starts, ends, sizes, points) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows that share a route and pass the bound: small trees by offset, larger ones by search."""
+    """Pairs of rows that share a route and pass the bound: trees of one leaf all at once, by offset, larger ones by search."""
     left, right = [], []
     width = ends - starts
     small = (width > 1) & (width <= FANOUT)
@@ -347,33 +336,41 @@ def _verify(dealt: DataFrame, key: list[str], tagged: bool = False) -> DataFrame
     return arrow_map(dealt, run, "a long, b long")
 
 
-def exact_edges(members: DataFrame, texts: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Exact links that connect the texts of each candidate group (rep, comp); texts: (rep, text)."""
-    sizes = members.groupBy("comp").agg(F.count("*").alias("c"))
-    members = cut(members.join(sizes, "comp"))
+def _sized(members: DataFrame, block: int) -> DataFrame:
+    """members (comp, rep, n, ...) with c, their group's size, and k, the blocks it needs by number and by shingles."""
+    sizes = members.groupBy("comp").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
+    k = F.greatest(F.ceil(F.col("c") / block), F.ceil(F.col("w") / WEIGHT)).alias("k")
+    return members.join(sizes.select("comp", "c", k), "comp")
+
+
+def exact_edges(members: DataFrame, texts: DataFrame, block: int = BLOCK, probe: int = PROBE) -> DataFrame:
+    """Exact links that connect the texts of each candidate group (rep, comp, n, point, doc_id, tie); texts: (doc_id, tie, text)."""
+    members = cut(_sized(members, block))
     ids = members.count()
 
     def with_text(rows: DataFrame) -> DataFrame:
         """Texts of the members: found by a broadcast of ids of a checked number, else by a shuffle."""
-        return texts.join(F.broadcast(rows), "rep") if ids <= MAX_IDS else rows.join(texts, "rep")
+        keys = rows.select(*[c for c in rows.columns if c not in ("doc_id", "tie", "point")], F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"))
+        return texts.join(F.broadcast(keys) if ids <= MAX_IDS else keys, texts["doc_id"].eqNullSafe(keys["_id"]) & (texts["tie"] == keys["_tie"])).drop("_id", "_tie", "doc_id", "tie")
 
-    small = with_text(members.where(F.col("c") <= block))
+    small = with_text(members.where("k <= 1"))
     found = cut(_verify(small.select("comp", "rep", "text").repartition("comp").sortWithinPartitions("comp"), ["comp"]))
-    large = members.where(F.col("c") > block)
+    large = members.where("k > 1")
     if large.isEmpty():
         return found
-    large = cut(with_text(large).select("comp", "rep", "c", "text"))
-    now, links = large.select("comp", "rep", "c"), []
-    before = now.agg(F.count("*").alias("n"), F.max("c").alias("c")).first()
+    points = cut(large.select("comp", "rep", "n", "point"))
+    large = cut(with_text(large).select("comp", "rep", "n", "c", "k", "text"))
+    now, links = large.select("comp", "rep", "n", "c", "k").distinct(), []
+    before = now.agg(F.count("*").alias("n"), F.max("c").alias("c"), F.max("k").alias("k")).first()
     for turn in range(ROUNDS):
         # blocks of a group's remaining leaders, dealt anew each round; who hangs on a leader drops out
-        dealt = now.withColumn("k", F.pmod(F.xxhash64("rep", F.lit(turn)), F.ceil(F.col("c") / block))).join(large.select("rep", "text"), "rep")
+        dealt = now.withColumn("k", F.pmod(F.xxhash64("rep", F.lit(turn)), F.col("k"))).join(large.select("rep", "text"), "rep")
         got = cut(_verify(dealt.select("comp", "k", "rep", "text").repartition("comp", "k").sortWithinPartitions("comp", "k"), ["comp", "k"]))
         links.append(got)
-        tops = now.select("comp", "rep").join(got.select(F.col("b").alias("rep")), "rep", "left_anti")
-        now = cut(tops.withColumn("c", F.count("*").over(Window.partitionBy("comp"))))
-        sizes = now.agg(F.count("*").alias("n"), F.max("c").alias("c")).first()
-        if sizes["c"] == 1 or before["c"] <= block or 2 * sizes["n"] > before["n"]:
+        tops = now.select("comp", "rep", "n").join(got.select(F.col("b").alias("rep")), "rep", "left_anti")
+        now = cut(_sized(tops, block))
+        sizes = now.agg(F.count("*").alias("n"), F.max("c").alias("c"), F.max("k").alias("k")).first()
+        if sizes["c"] == 1 or before["k"] <= 1 or 2 * sizes["n"] > before["n"]:
             break
         before = sizes
     # one leader left, all are connected; else texts of different components still have to meet
@@ -381,53 +378,92 @@ def exact_edges(members: DataFrame, texts: DataFrame, block: int = BLOCK) -> Dat
         edges = links[0]
         for more in links[1:]:
             edges = edges.unionByName(more)
-        links.append(_across(large, edges, block))
+        links.append(_across(points, large.select("rep", "text"), edges, probe))
     for more in links:
         found = found.unionByName(more)
     return found
 
 
-def _across(large: DataFrame, edges: DataFrame, block: int) -> DataFrame:
-    """Links between components of a group: each text outside the largest one against blocks of all texts."""
+def _across(points: DataFrame, texts: DataFrame, edges: DataFrame, probe: int) -> DataFrame:
+    """Links between components of a group: each member outside the largest one probes trees of all members' points.
+
+    Points alone are copied, to a cell for each chunk of outsiders and block of members. Only members of a cell that pass
+    the bound with another component's, a row each and never a pair, get their texts and are compared exactly.
+    """
     parts = components(edges).select(F.col("v").alias("rep"), F.col("comp").alias("p"))
-    named = large.select("comp", "rep").join(parts, "rep", "left").select("comp", "rep", F.coalesce("p", "rep").alias("part"))
+    named = points.join(parts, "rep", "left").select("comp", "rep", "n", "point", F.coalesce("p", "rep").alias("part"))
     sizes = named.groupBy("comp", "part").agg(F.count("*").alias("n"))
     best = sizes.groupBy("comp").agg(F.sum("n").alias("all"), F.max(F.struct("n", "part")).alias("m")).select("comp", "all", (F.col("all") - F.col("m.n")).alias("out"), F.col("m.part").alias("core"))
     named = cut(named.join(best.where("out > 0"), "comp"))
-    chunks, blocks = F.ceil(F.col("out") / block).cast("int"), F.ceil(F.col("all") / block).cast("int")
+    chunks, blocks = F.ceil(F.col("out") / probe).cast("int"), F.ceil(F.col("all") / probe).cast("int")
     h = F.xxhash64("rep", F.lit(99))
     every = named.withColumns({"k": F.pmod(h, blocks), "i": F.explode(F.sequence(F.lit(0), chunks - 1)), "side": F.lit(0)})
     outer = named.where("part <> core").withColumns({"i": F.pmod(h, chunks).cast("int"), "k": F.explode(F.sequence(F.lit(0).cast("long"), blocks.cast("long") - 1)), "side": F.lit(1)})
     cols = ["comp", "i", "k", "rep", "part", "side"]
-    both = every.select(*cols).unionByName(outer.select(*cols)).groupBy("comp", "i", "k", "rep", "part").agg(F.max("side").alias("side"))
-    dealt = both.join(large.select("rep", "text"), "rep").select(*cols, "text").repartition("comp", "i", "k").sortWithinPartitions("comp", "i", "k")
+    both = every.select(*cols, "n", "point").unionByName(outer.select(*cols, "n", "point"))
+    cells = both.repartition("comp", "i", "k").sortWithinPartitions("comp", "i", "k", "rep", F.desc("side"))
+
+    def run(batches):
+        for t in row_groups(batches, ["comp", "i", "k"]):
+            place = np.stack([t.column(c).to_numpy() for c in ("comp", "i", "k")], 1)
+            rep, part, side, n = (t.column(c).to_numpy() for c in ("rep", "part", "side", "n"))
+            mark = np.zeros(len(rep), bool)
+            for s, e in zip(*runs(np.append(0, np.cumsum((place[1:] != place[:-1]).any(1)))), strict=True):
+                # an outsider that is in the block as well comes twice, first as an outsider
+                at = s + np.flatnonzero(np.append(True, rep[s + 1 : e] != rep[s : e - 1]))
+                vectors = [np.frombuffer(x, "<u2") for x in t.column("point").take(pa.array(at)).to_pylist()]
+                tree = CountTree(n[at], vectors)
+                for x in np.flatnonzero(side[at] == 1):
+                    near = tree.near(int(n[at[x]]), vectors[x])
+                    near = near[part[at[near]] != part[at[x]]]
+                    if len(near):
+                        mark[at[near]] = mark[at[x]] = True
+            yield pa.RecordBatch.from_arrays([pa.array(t.column(c).to_numpy()[mark]) for c in cols], names=cols)
+
+    met = cut(arrow_map(cells, run, "comp long, i int, k long, rep long, part long, side int"))
+    dealt = met.join(texts, "rep").select(*cols, "text").repartition("comp", "i", "k").sortWithinPartitions("comp", "i", "k", "rep", F.desc("side"))
     return cut(_verify(dealt, ["comp", "i", "k"], tagged=True))
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tree: int = TREE, block: int = BLOCK) -> DataFrame:
+def _grouped(docs: DataFrame, doc_id: str, text: str, tree: int, block: int, probe: int) -> tuple[DataFrame, DataFrame]:
+    """The signatures of all documents, and the classes: (s1, s2, n, rep, doc_id, tie, comp), the head's id and text hash."""
+    signed = cut(signatures(docs, common_cells(docs, text), doc_id, text))
+    head = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")
+    reps = signed.where("n > 0").groupBy("s1", "s2", "n").agg(F.min_by(F.struct("keys", "point"), head).alias("x"), F.min(head).alias("h"))
+    reps = cut(reps.select("s1", "s2", "n", F.monotonically_increasing_id().alias("rep"), "h.doc_id", "h.tie", "x.keys", "x.point"))
+    rough = components(candidate_edges(reps, tree)).select(F.col("v").alias("rep"), "comp")
+    members = cut(rough.join(reps.select("rep", "n", "point", "doc_id", "tie"), "rep"))
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), _tie(text).alias("tie"), F.col(text).alias("text"))
+    exact = components(exact_edges(members, texts, block, probe)).select(F.col("v").alias("rep"), "comp")
+    return signed, reps.drop("keys", "point").join(exact, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tree: int = TREE, block: int = BLOCK, probe: int = PROBE) -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id), one row a document.
 
     class_id: the smallest id with the same shingle set; component_id: the smallest id that links reach.
     """
-    signed = cut(signatures(docs, common_cells(docs, text), doc_id, text))
-    known = signed.where("n > 0")
-    reps = cut(known.groupBy("s1", "s2", "n").agg(F.min_by(F.struct("keys", "point"), "doc_id").alias("x"), F.min("doc_id").alias("rep")).select("s1", "s2", "n", "rep", "x.keys", "x.point"))
-    rough = components(candidate_edges(reps, tree))
-    members = cut(rough.select(F.col("v").alias("rep"), "comp"))
-    texts = docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("text"))
-    exact = components(exact_edges(members, texts, block)).select(F.col("v").alias("rep"), F.col("comp").alias("component_id"))
-    classes = reps.select("s1", "s2", "n", "rep").join(exact, "rep", "left").select("s1", "s2", "n", F.col("rep").alias("class_id"), F.coalesce("component_id", "rep").alias("component_id"))
+    signed, classes = _grouped(docs, doc_id, text, tree, block, probe)
+    least = classes.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    classes = classes.join(least, "comp").select("s1", "s2", "n", F.col("doc_id").alias("class_id"), "component_id")
     out = signed.select("doc_id", "n", "s1", "s2").join(classes, ["s1", "s2", "n"], "left")
     own = F.col("doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", own).alias("class_id"), F.coalesce("component_id", own).alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """docs with one document, that of the smallest id, of each component; rows repeated under one id collapse."""
-    groups = near_duplicates(docs, doc_id, text, **options)
-    keep = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    left = docs.where(F.col(doc_id).isNotNull()).join(keep, F.col(doc_id).cast("long") == F.col("_kept"), "left_semi")
-    return left.dropDuplicates([doc_id]).unionByName(docs.where(F.col(doc_id).isNull()))
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tree: int = TREE, block: int = BLOCK, probe: int = PROBE) -> DataFrame:
+    """docs with one document of each component, that of the smallest id (ids that are null come last, then the text's hash).
+
+    Wordless documents all stay. Rows that are equal in id and text count as one document and collapse to one of them.
+    """
+    signed, classes = _grouped(docs, doc_id, text, tree, block, probe)
+    heads = classes.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("h"))
+    keep = heads.select(F.col("h.doc_id").alias("_i"), F.col("h.tie").alias("_t")).unionByName(signed.where("n = 0").select(F.col("doc_id").alias("_i"), F.col("tie").alias("_t")).distinct())
+    named = without(docs, "_id", "_tie", "_i", "_t").withColumns({"_id": F.col(doc_id).cast("long"), "_tie": _tie(text)})
+    kept = named.join(keep, named["_id"].eqNullSafe(keep["_i"]) & (named["_tie"] == keep["_t"]), "left_semi")
+    if not signed.groupBy("doc_id", "tie").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["_id", "_tie"])
+    return kept.drop("_id", "_tie")
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

@@ -100,3 +100,51 @@ def test_long_texts_use_finer_points():
     assert sizes == sorted(set(sizes))
     p = N.point(np.unique(np.array([r.getrandbits(63) for _ in range(2000)], np.uint64)))
     assert N.folded(p, N.GROUPS).sum() == p.sum()
+
+
+def test_texts_that_share_an_id_or_have_none(spark, none):
+    r = random.Random(6)
+    a, b, c = (" ".join(f"w{r.randint(0, 10**6)}" for _ in range(80)) for _ in range(3))
+    rows = [(5, a), (5, b), (5, b), (7, a + " x"), (None, b + " y"), (None, c), (None, c + " z"), (9, ""), (None, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", k) for k, (i, t) in enumerate(rows)], none.schema)
+    got = sorted((r["doc_id"] or -1, r["n_shingles"], r["component_id"] or -1) for r in N.near_duplicates(docs).collect())
+    assert got == sorted([(5, 76, 5), (5, 76, 5), (5, 76, 5), (7, 77, 5), (-1, 77, 5), (-1, 76, -1), (-1, 77, -1), (9, 0, 9), (-1, 0, -1), (-1, 0, -1)])
+    kept = [(r["doc_id"], r["text"]) for r in N.one_of_each(docs).collect()]
+    assert sorted((i or -1, len(t or "")) for i, t in kept if t != c and t != c + " z") == sorted([(5, len(a)), (5, len(b)), (9, 0), (-1, 0)])
+    assert sum(t in (c, c + " z") for _, t in kept) == 1 and len(kept) == 5
+
+
+def lines_of(r, n, words):
+    return [" ".join(f"v{r.randint(0, 10**6)}" for _ in range(words)) for _ in range(n)]
+
+
+@pytest.mark.parametrize(("tree", "block", "probe"), [(30, 40, 64), (30, 500, 50)])
+def test_look_alikes_equal_brute_force(spark, tree, block, probe):
+    """Texts made of a few common lines: all routes are hot, one group holds all, some link and most do not."""
+    r = random.Random(11)
+    lines, rows = lines_of(r, 14, 20), []
+    for i in range(420):
+        rows.append((i, " ".join(r.sample(lines, r.choice((5, 6))) if i % 3 else lines[:6] + [f"own{i}"])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in N.near_duplicates(docs, tree=tree, block=block, probe=probe).collect()}
+    assert got == brute(rows)
+
+
+def test_a_hot_route_of_thousands_of_look_alikes(spark):
+    """Texts of twelve of forty common lines: none of a route's members links, and no cell holds them all."""
+    r = random.Random(12)
+    lines = lines_of(r, 40, 25)
+    picks = [tuple(sorted(r.sample(range(40), 12))) for _ in range(6000)]
+    rows = [(i, " ".join(lines[k] for k in p)) for i, p in enumerate(picks)]
+    got = {x["doc_id"]: x["component_id"] for x in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()}
+    # texts of one set of lines are equal; others share at most eleven lines
+    first = {}
+    for i, p in enumerate(picks):
+        first.setdefault(p, i)
+    alone = [i for i, p in enumerate(picks) if max(len(set(p) & set(q)) for q in r.sample(picks, 50) if q != p) < 11]
+    assert all(got[first[p]] == got[i] for i, p in enumerate(picks)) and sum(got[i] == i for i in alone) > 0.95 * len(alone)
+
+
+def test_blocks_are_bounded_by_shingles(docs, rows, monkeypatch):
+    monkeypatch.setattr(N, "WEIGHT", 300)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in N.near_duplicates(docs, tree=3).collect()} == brute(rows)
