@@ -46,6 +46,28 @@ def test_bytes_are_near_equal_and_copies_stay_together(spark):
     assert len(hot) > 1 and all(len(s) == 1 for s in per_text.values())
 
 
+@pytest.mark.parametrize("reuse", [True, False])
+def test_bytes_are_nearly_equal_with_long_texts(spark, reuse):
+    """Texts of a third of a shard, copies of long texts, a row given many times, and a hot text: within 2 % of the mean."""
+    rows = [(i, "x" * (40 + i * 37 % 900)) for i in range(4000)] + [(5000 + i, f"{i} " * 15_000) for i in range(20)] + [(6000 + i, "c" * 30_000) for i in range(9)] + [(7000, "d" * 9_000)] * 30 + [(8000 + i, "hot " * 40) for i in range(4000)]
+    out = H.shard_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), carry=["doc_id"], reuse=reuse).collect()
+    assert sorted((r["doc_id"], r["size"]) for r in out) == sorted((i, len(t) + 1) for i, t in rows)
+    totals, slots = {}, {}
+    for r in out:
+        totals[r["shard"]] = totals.get(r["shard"], 0) + r["size"]
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    mean = sum(totals.values()) / 16
+    assert len(totals) == 16 and max(abs(t - mean) for t in totals.values()) < 0.02 * mean, sorted(totals.values())
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_a_text_larger_than_a_shard(spark):
+    rows = [(1, "x" * 100_000)] + [(i, "y" * 50 + str(i)) for i in range(2, 600)]
+    out = H.shard_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    alone = next(r["shard"] for r in out if r["doc_id"] == 1)
+    assert [r["doc_id"] for r in out if r["shard"] == alone] == [1]
+
+
 def test_sharding_is_repeatable_and_handles_nothing(docs, none):
     a, b = (sorted((r["doc_id"], r["shard"], r["slot"]) for r in H.shard_documents(d, carry=["doc_id"]).collect()) for d in (docs, docs.repartition(3)))
     assert a == b
