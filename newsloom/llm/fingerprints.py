@@ -23,7 +23,7 @@ from pyspark.sql.window import Window
 from newsloom.llm.common import table
 
 WIDTH, SCALE = 5, 8
-ROWS = 2000  # documents a bucket of the order by id
+ROWS, WIDE = 2000, 1000  # documents a bucket of the order by id, buckets that are led in one window
 SPLITTERS, MAX_HEADS = 1024, 200_000
 
 
@@ -88,10 +88,14 @@ def with_next(docs: DataFrame, columns: list[str], doc_id: str = "doc_id", made:
     tie = F.xxhash64(*columns)
     dealt = dealt.withColumns({"_tie": tie, "_guest": F.lit(0)})
     heads = dealt.groupBy("_bucket").agg(F.max(F.struct("_id", "_tie")).alias("h"))
-    # one row a bucket; the bucket below the last one is the first
-    down = Window.orderBy(F.desc("_bucket"))
-    ring = heads.select(F.col("_bucket").alias("to"), F.lead("h").over(down).alias("next"), F.first("h").over(down).alias("top"))
-    ring = ring.select("to", F.coalesce("next", "top").alias("h")).select("to", F.col("h._id").alias("_id"), F.col("h._tie").alias("_tie"))
+    # the bucket below the last one is the first. One row a bucket is led inside WIDE buckets; the last bucket of those
+    # gets the first row of the next ones, which stand in a window of one row for WIDE * ROWS documents
+    wide = F.floor(F.col("_bucket") / WIDE).alias("_wide")
+    inside = heads.select("_bucket", "h", wide).withColumn("next", F.lead("h").over(Window.partitionBy("_wide").orderBy(F.desc("_bucket"))))
+    down = Window.orderBy(F.desc("_wide"))
+    tops = heads.groupBy(wide).agg(F.max_by("h", "_bucket").alias("t")).select("_wide", F.lead("t").over(down).alias("below"), F.first("t").over(down).alias("top"))
+    ring = inside.join(tops, "_wide").select(F.col("_bucket").alias("to"), F.coalesce("next", "below", "top").alias("h"))
+    ring = ring.select("to", F.col("h._id").alias("_id"), F.col("h._tie").alias("_tie"))
     light = F.broadcast(ring) if buckets <= MAX_HEADS else ring
     guests = dealt.join(light, ["_id", "_tie"]).drop("_bucket").withColumnRenamed("to", "_bucket").withColumn("_guest", F.lit(1))
     guests = guests.dropDuplicates(["_bucket"])

@@ -161,10 +161,49 @@ def test_next_document_and_digests(docs, rows, tmp_path):
     assert got[65][0]["fingerprint"] == got[3][0]["fingerprint"] and got[67][0]["fingerprint"] == ""
 
 
+def sketch_by_hand(text):
+    import struct
+
+    import xxhash
+
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    words = [signed(xxhash.xxh64_intdigest(w.encode(), 42)) for w in re.findall(r"[^\x20\x09-\x0D]+", text)]
+    out = set()
+    for k in range(max(1, len(words) - 4)):
+        h = 42
+        for w in words[k : k + 5]:
+            h = xxhash.xxh64_intdigest(struct.pack("<q", w), h)
+        out.add(signed(h))
+    return sorted({h for h in out if h < -(1 << 63) + (1 << 64) // P.SCALE} | {min(out)}) if words else []
+
+
+def alike(a, b):
+    return len({*a} & {*b}) / min(len(a), len(b)) if a and b else float(a == b)
+
+
+def test_fingerprints_and_likeness_equal_brute_force(docs, rows, tmp_path):
+    docs.where("doc_id <> 73").write.parquet(str(tmp_path / "documents.parquet"))
+    text = {i: t or "" for i, t, *_ in rows if i != 73}
+    order = sorted(text, reverse=True)
+    after = {i: order[(k + 1) % len(order)] for k, i in enumerate(order)}
+    got = P.op5(docs.sparkSession, str(tmp_path)).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(text)
+    for r in got:
+        t, n = text[r["doc_id"]], text[after[r["doc_id"]]]
+        h = len(t) // 2
+        own, edited, other = sketch_by_hand(t), sketch_by_hand(t[: len(t) - h] + n[:h]), sketch_by_hand(n)
+        hexes = lambda s: ",".join(f"{x % (1 << 64):016x}" for x in s)
+        assert (r["fingerprint"], r["edited_fingerprint"]) == (hexes(own), hexes(edited))
+        assert r["near_edited"] == pytest.approx(alike(own, edited)) and r["near_next"] == pytest.approx(alike(own, other))
+
+
 def test_small_buckets_give_the_same(docs, monkeypatch):
     want = sorted((r["doc_id"], r["next_text"] or "") for r in P.with_next(docs.select("doc_id", "text"), ["text"]).collect())
     monkeypatch.setattr(P, "ROWS", 3)
     assert sorted((r["doc_id"], r["next_text"] or "") for r in P.with_next(docs.select("doc_id", "text"), ["text"]).collect()) == want
+    for wide in (1, 2, 5):
+        monkeypatch.setattr(P, "WIDE", wide)
+        assert sorted((r["doc_id"], r["next_text"] or "") for r in P.with_next(docs.select("doc_id", "text"), ["text"]).collect()) == want
     monkeypatch.setattr(P, "SPLITTERS", 4)
     assert sorted((r["doc_id"], r["next_text"] or "") for r in P.with_next(docs.select("doc_id", "text"), ["text"]).collect()) == want
 
