@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,13 +23,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where none is named (tests)."""
+    """The folder that all executors share. Only where none is named, and driver and executors are one machine's, as in
+    tests, it is a folder of our own; a cluster without one is refused."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not named:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir names no folder that the executors share")
         named = getattr(spark.sparkContext, "_newsloom_dir", None)
         if not named:
             named = "file://" + tempfile.mkdtemp(prefix="newsloom-")
             spark.sparkContext._newsloom_dir = named
+            atexit.register(shutil.rmtree, named.removeprefix("file://"), True)
     return named
 
 
@@ -40,13 +47,55 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: Tables written by cut() in each open scratch(), innermost last.
+_scratch: list[list[str]] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: lost executors cost no recomputation."""
+    """Write df to the shared folder and read it back: lost executors cost no recomputation.
+
+    The table goes when the scratch() around it ends, or with the program.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/newsloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    if _scratch:
+        _scratch[-1].append(path)
+    else:
+        atexit.register(_remove, spark, path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._newsloom_path = path
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Remove the table behind a DataFrame that cut() returned, once it is used up."""
+    _remove(df.sparkSession, df._newsloom_path)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Inside, the tables of cut() are used up at the end: all go but those given to the function that this yields,
+    which pass to the scratch around, or stay to the program's end."""
+    mine: list[str] = []
+    kept: list[str] = []
+    _scratch.append(mine)
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df._newsloom_path)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _scratch.pop()
+        for path in mine:
+            if path not in kept:
+                _remove(spark, path)
+            elif _scratch:
+                _scratch[-1].append(path)
+            else:
+                atexit.register(_remove, spark, path)
 
 
 def python_path(spark: SparkSession) -> None:
@@ -126,25 +175,27 @@ def components(edges: DataFrame) -> DataFrame:
     ends and contracts the graph; local minima alone remain, so the vertices at least halve. All steps
     are joins and aggregations on vertex keys; each is written to the shared folder.
     """
+    spark = edges.sparkSession
     pairs = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = cut(pairs)
-    labels = None
-    while not pairs.isEmpty():
-        both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        up = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("p")))
-        moved = True
-        while moved:
-            far = up.select(F.col("a").alias("p"), F.col("p").alias("q"))
-            jumped = cut(up.join(far, "p").select("a", F.col("q").alias("p"), (F.col("q") != F.col("p")).alias("moved")))
-            moved = not jumped.where("moved").isEmpty()
-            up = jumped.select("a", "p")
-        if labels is None:
-            labels = up.select(F.col("a").alias("v"), F.col("p").alias("comp"))
-        else:
-            labels = cut(labels.join(up.select(F.col("a").alias("comp"), "p"), "comp", "left").select("v", F.coalesce("p", "comp").alias("comp")))
-        to = up.select(F.col("a").alias("a"), F.col("p").alias("pa"))
-        moved = pairs.join(to, "a").join(to.select(F.col("a").alias("b"), F.col("pa").alias("pb")), "b")
-        pairs = cut(moved.where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
-    if labels is None:
-        labels = pairs.select(F.col("a").alias("v"), F.col("b").alias("comp"))
-    return labels
+    with scratch(spark) as done:
+        pairs = cut(pairs)
+        labels = None
+        while not pairs.isEmpty():
+            with scratch(spark) as keep:  # the tables of one round
+                both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+                up = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("p")))
+                moved = True
+                while moved:
+                    far = up.select(F.col("a").alias("p"), F.col("p").alias("q"))
+                    jumped = cut(up.join(far, "p").select("a", F.col("q").alias("p"), (F.col("q") != F.col("p")).alias("moved")))
+                    moved = not jumped.where("moved").isEmpty()
+                    up = jumped.select("a", "p")
+                if labels is None:
+                    labels = keep(cut(up.select(F.col("a").alias("v"), F.col("p").alias("comp"))))
+                else:
+                    labels = keep(cut(labels.join(up.select(F.col("a").alias("comp"), "p"), "comp", "left").select("v", F.coalesce("p", "comp").alias("comp"))))
+                to = up.select(F.col("a").alias("a"), F.col("p").alias("pa"))
+                moved = pairs.join(to, "a").join(to.select(F.col("a").alias("b"), F.col("pa").alias("pb")), "b")
+                pairs = keep(cut(moved.where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct()))
+        done(pairs if labels is None else labels)
+    return pairs.select(F.col("a").alias("v"), F.col("b").alias("comp")) if labels is None else labels

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import arrow_map, components, cut, table, without
+from newsloom.llm.common import arrow_map, components, cut, scratch, table, without
 from newsloom.llm.shingles import mixed, shingle_sets
 
 PART, WHOLE = 80, 100
@@ -427,15 +427,17 @@ def _across(points: DataFrame, texts: DataFrame, edges: DataFrame, probe: int) -
 
 def _grouped(docs: DataFrame, doc_id: str, text: str, tree: int, block: int, probe: int) -> tuple[DataFrame, DataFrame]:
     """The signatures of all documents, and the classes: (s1, s2, n, rep, doc_id, tie, comp), the head's id and text hash."""
-    signed = cut(signatures(docs, common_cells(docs, text), doc_id, text))
-    head = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")
-    reps = signed.where("n > 0").groupBy("s1", "s2", "n").agg(F.min_by(F.struct("keys", "point"), head).alias("x"), F.min(head).alias("h"))
-    reps = cut(reps.select("s1", "s2", "n", F.monotonically_increasing_id().alias("rep"), "h.doc_id", "h.tie", "x.keys", "x.point"))
-    rough = components(candidate_edges(reps, tree)).select(F.col("v").alias("rep"), "comp")
-    members = cut(rough.join(reps.select("rep", "n", "point", "doc_id", "tie"), "rep"))
-    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), _tie(text).alias("tie"), F.col(text).alias("text"))
-    exact = components(exact_edges(members, texts, block, probe)).select(F.col("v").alias("rep"), "comp")
-    return signed, reps.drop("keys", "point").join(exact, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    with scratch(docs.sparkSession) as keep:
+        signed = cut(signatures(docs, common_cells(docs, text), doc_id, text))
+        light = keep(cut(signed.drop("keys", "point")))
+        head = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")
+        reps = signed.where("n > 0").groupBy("s1", "s2", "n").agg(F.min_by(F.struct("keys", "point"), head).alias("x"), F.min(head).alias("h"))
+        reps = cut(reps.select("s1", "s2", "n", F.monotonically_increasing_id().alias("rep"), "h.doc_id", "h.tie", "x.keys", "x.point"))
+        rough = components(candidate_edges(reps, tree)).select(F.col("v").alias("rep"), "comp")
+        members = cut(rough.join(reps.select("rep", "n", "point", "doc_id", "tie"), "rep"))
+        texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), _tie(text).alias("tie"), F.col(text).alias("text"))
+        exact = components(exact_edges(members, texts, block, probe)).select(F.col("v").alias("rep"), "comp")
+        return light, keep(cut(reps.drop("keys", "point").join(exact, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tree: int = TREE, block: int = BLOCK, probe: int = PROBE) -> DataFrame:

@@ -245,7 +245,35 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_running_sums(spark):
+def test_used_up_tables_go(spark):
+    from pathlib import Path
+
+    from newsloom.llm.common import cut, scratch, shared_dir
+
+    folder = Path(shared_dir(spark).removeprefix("file://"))
+    before = set(folder.glob("*"))
+    with scratch(spark) as keep:
+        a = cut(spark.range(5))
+        b = keep(cut(a.select("id")))
+    assert len(set(folder.glob("*")) - before) == 1 and b.count() == 5
+    assert components(spark.createDataFrame([(1, 2), (2, 3)], "a long, b long")).count() == 3
+    assert len(set(folder.glob("*")) - before) == 2
+
+
+def test_a_cluster_must_name_its_folder(spark):
+    from types import SimpleNamespace as S
+
+    from newsloom.llm.common import shared_dir
+
+    conf = S(get=lambda *_: None)
+    for master in ("yarn", "spark://h:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared_dir(S(conf=conf, sparkContext=S(getConf=lambda: conf, master=master)))
+
+
+@pytest.mark.parametrize("wide", [1000, 3])
+def test_running_sums(spark, monkeypatch, wide):
+    monkeypatch.setattr("newsloom.llm.common.WIDE", wide)
     rows = [(None if i % 3 == 0 else f"k{i % 3}", i, i % 7) for i in range(500)]
     out = running(spark.createDataFrame(rows, "k string, i int, v int"), ["k"], [F.col("i")], {"s": F.col("v")}, per_bucket=20).collect()
     for k in {r[0] for r in rows}:
@@ -255,21 +283,85 @@ def test_running_sums(spark):
         assert all(a[1] == b[0] for a, b in zip(spans, spans[1:])) and spans[-1][1] == sum(r[2] for r in rows if r[0] == k)
 
 
-def test_pipeline_stages(spark):
-    docs = table(spark, "/root/testdata/sf0.001", "documents")
-    sf, columns = "/root/testdata/sf0.001", docs.columns
+def test_pipeline_stages_equal_brute_force(spark):
+    """Every stage over what the one before it kept: rows and texts, recomputed in Python (the classifier from its columns)."""
+    import zlib
+
+    import duckdb
+
+    from newsloom.llm import decontaminate, mixing, sql
+
+    sf = "/root/testdata/sf0.001"
+    docs = table(spark, sf, "documents")
     assert [n for n, _ in C.STAGES] == ["quality", "near_duplicates", "decontamination", "mixing", "sharding"]
-    now = docs.cache()
-    for name, stage in C.STAGES[:3]:
-        out = stage(spark, now, sf)
-        assert out.columns == columns, name
-        kept = out.cache()
-        assert kept.join(now, ["doc_id"], "left_anti").count() == 0 and 0 < kept.count() <= now.count()
-        now = kept
-    assert C.near_duplicate_stage(spark, now, sf).count() == now.count()
-    mixed = C.mixing_stage(spark, now, sf)
-    assert mixed.columns == columns
-    assert C.sharding_stage(spark, mixed, sf).count() == mixed.count()
+    rows, now = lambda d: sorted(tuple(r) for r in d.select(*docs.columns).collect()), docs
+
+    # quality: the rows whose evidence, moved by their sites', says neither poor nor toxic
+    models = Q.train(now, table(spark, sf, "labels"))
+    source = now.collect()
+    f = Q.features(pa.array([r["text"] for r in source]))
+    bad = {}
+    for k, m in enumerate(models):
+        logit = m.logit(*f)
+        moved = sites_by_hand([(r["source"], r["lang"], float(x)) for r, x in zip(source, logit, strict=True)])
+        bad[k] = [x + Q.WEIGHT * o >= 0 for x, o in zip(logit, moved, strict=True)]
+    kept = C.quality_stage(spark, now, sf).cache()
+    assert rows(kept) == sorted(tuple(r) for r, x, y in zip(source, bad[0], bad[1], strict=True) if not x and not y) and 0 < kept.count() < len(source)
+
+    # near duplicates: the smallest id of each component, by SQL
+    frame, now = kept.toPandas(), kept
+    want = duckdb.sql(sql.NGRAM_JOIN.replace("FROM documents", "FROM frame")).df()
+    kept = C.near_duplicate_stage(spark, now, sf).cache()
+    assert rows(kept) == rows(now.where(F.col("doc_id").isin(want[want.doc_id == want.component_id].doc_id.tolist())))
+
+    # decontamination: texts without their passages, word by word
+    now, out = kept, []
+    width, items = decontaminate.WINDOW, [decontaminate.words(r["text"]) for r in table(spark, sf, "benchmark").collect()]
+    found = {tuple(w[i : i + width]) for w in items if w for i in range(max(1, len(w) - width + 1))}
+    lengths = {len(w) for w in found}
+    for r in now.collect():
+        w, spans = decontaminate.words(r["text"]), [m.span() for m in decontaminate._WORD.finditer(r["text"] or "")]
+        hit = set()
+        for n in lengths:
+            for i in range(len(w) - n + 1):
+                if tuple(w[i : i + n]) in found:
+                    hit |= set(range(i, i + n))
+        if hit and 20 * len(hit) >= len(w):
+            continue
+        # what stands between two hit words goes with them
+        gone = {c for p in hit for c in range(spans[p][0], spans[p + 1][0] if p + 1 in hit else spans[p][1])}
+        text = "".join(c for k, c in enumerate(r["text"]) if k not in gone) if hit else r["text"]
+        out.append((r["doc_id"], text, r["lang"], r["source"], len(text) if hit else r["n_chars"]))
+    kept = C.decontamination_stage(spark, now, sf).cache()
+    assert rows(kept) == sorted(out)
+
+    # mixing: every piece is its document's text in a block, as often as the slots take the block
+    now, want = kept, []
+    plan = mixing.Mix(now)
+    slots = {}
+    for r in plan.slot_table().collect():
+        slots[r["s"], r["block"]] = slots.get((r["s"], r["block"]), 0) + 1
+    texts = {r["doc_id"]: r for r in now.collect()}
+    for r in plan.packed.where("size > 0").collect():
+        doc = texts[r["doc_id"]]
+        words = re.findall(r"(?:\A[\x20\x09-\x0D]+)?[^\x20\x09-\x0D]+[\x20\x09-\x0D]*", doc["text"])
+        assert len(words) == r["size"] and "".join(words) == doc["text"]
+        for block in range(r["start"] // 256, (r["start"] + r["size"] - 1) // 256 + 1):
+            piece = "".join(words[max(0, block * 256 - r["start"]) : max(0, (block + 1) * 256 - r["start"])])
+            want += [(doc["doc_id"], piece, doc["lang"], doc["source"], len(piece))] * slots.get((r["s"], block), 0)
+    kept = C.mixing_stage(spark, now, sf).cache()
+    assert kept.columns == docs.columns and rows(kept) == sorted(want)
+
+    # sharding: all rows, gapless slots, near-equal bytes
+    out = C.sharding_stage(spark, kept, sf).collect()
+    assert sorted((r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"]) for r in out) == rows(kept)
+    totals, places = [0] * 16, [[] for _ in range(16)]
+    for r in out:
+        totals[r["shard"]] += len(r["text"].encode()) + 1
+        places[r["shard"]].append(r["slot"])
+    assert all(sorted(p) == list(range(len(p))) for p in places) and max(totals) - min(totals) < 0.05 * sum(totals) / 16
+    whole = sorted((r["doc_id"], zlib.crc32(r["text"].encode()), r["shard"], r["slot"]) for r in C.run(spark, sf).collect())
+    assert whole == sorted((r["doc_id"], zlib.crc32(r["text"].encode()), r["shard"], r["slot"]) for r in out)
 
 
 def test_pipeline_of_nothing(spark, none):
