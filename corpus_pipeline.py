@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.llm import decontaminate, mixing, ngram_join, quality, sharding
-from newsloom.llm.common import cut, table
+from newsloom.llm.common import cut, drop, scratch, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,7 +19,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near duplicates."""
+    """One document, that of the smallest id, of each group of near duplicates; wordless ones all stay."""
     return ngram_join.one_of_each(docs)
 
 
@@ -32,8 +32,9 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
-    return mixing.mix_documents(docs)
+    """The mix's slots: a row for each piece of a document in a block, as often as the block is taken."""
+    mixed = mixing.mix_documents(docs)
+    return mixed.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else mixed
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,15 +50,17 @@ STAGES = [
     ("sharding", sharding_stage),
 ]
 
-#: SQL cannot express the trained classifier; the stages are tested against brute force instead.
+#: SQL cannot express the trained classifier; each stage is tested against brute force over its own input instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents; each result is written to the shared folder before the next."""
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = cut(docs)
-    return docs
+    """The stages applied to documents; each result is written to the shared folder before the next, and goes after it."""
+    docs, before = table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES[:-1]:
+        with scratch(spark) as keep:
+            docs = keep(cut(stage(spark, docs, sf_dir)))
+        if before is not None:
+            drop(before)
+        before = docs
+    return STAGES[-1][1](spark, docs, sf_dir)
