@@ -47,7 +47,7 @@ TREE, BLOCK, FANOUT, PROBE = 1024, 1500, 16, 4096
 WEIGHT = 4_000_000  # shingles of a block's texts, 8 bytes each
 MAX_IDS = 200_000  # members of candidate groups that are broadcast to find their texts
 ROUNDS = 4  # of leaders, while they at least halve
-CELLS, COMMON = 1 << 18, 1024
+CELLS, COMMON = 1 << 18, 128
 
 
 def needed(a, b):
@@ -64,9 +64,14 @@ def linked(x: np.ndarray, y: np.ndarray) -> bool:
     return WHOLE * same >= PART * (len(x) + len(y) - same)
 
 
+#: Sizes from which a set's point has four times the groups.
+LEVELS = (256, 1024, 4096)
+
+
 def n_groups(n: int) -> int:
-    """Groups for a set of n: more for longer texts, nested, so that two points can be folded to the coarser."""
-    return GROUPS if n < 1024 else GROUPS * 4 if n < 4096 else GROUPS * 16 if n < 16384 else GROUPS * 64
+    """Groups for a set of n: more for longer texts, nested, so that two points can be folded to the coarser. With four
+    shingles or fewer in a group the bound of unrelated texts is about 0.75, well below the 0.89 that a link needs."""
+    return GROUPS * 4 ** sum(n >= x for x in LEVELS)
 
 
 def point(s: np.ndarray) -> np.ndarray:
@@ -163,6 +168,30 @@ class CountTree:
         return self.order[self._open(p, size, at, self.points, self.sizes, self.sizes)]
 
 
+class Trees:
+    """A tree for the sizes of each level, so that short texts don't coarsen the points of long ones, and one for the sizes
+    about each border between levels, which may link across it."""
+
+    def __init__(self, sizes: np.ndarray, points: list[np.ndarray]):
+        sizes = np.asarray(sizes)
+        edges = [0, *LEVELS, 1 << 62]
+        kinds = [(lo, hi) for lo, hi in zip(edges, edges[1:], strict=False)]
+        if len(sizes):
+            kinds = [k for k in kinds if k[0] <= sizes.max() and k[1] > sizes.min()]
+        # linked sizes differ by a factor of 1.25 at most
+        kinds += [(-(-x * PART // WHOLE), x * WHOLE // PART + 1) for x in LEVELS if len(sizes) and sizes.min() < x <= sizes.max()]
+        self.trees = []
+        for lo, hi in kinds:
+            at = np.flatnonzero((sizes >= lo) & (sizes < hi))
+            if len(at):
+                self.trees.append((lo, hi, at, CountTree(sizes[at], [points[i] for i in at])))
+
+    def near(self, size: int, p: np.ndarray) -> np.ndarray:
+        """Places of the members whose bound allows a link."""
+        found = [at[tree.near(size, p)] for lo, hi, at, tree in self.trees if lo <= size < hi]
+        return np.unique(np.concatenate(found)) if found else np.array([], int)
+
+
 def common_cells(docs: DataFrame, text: str = "text", floor: int = COMMON) -> np.ndarray:
     """Which cells hold shingles of very many documents. Each task sends one count a cell; CELLS counts reach the driver."""
     part = CELLS >> 4
@@ -218,7 +247,28 @@ def signatures(docs: DataFrame, common: np.ndarray, doc_id: str = "doc_id", text
     return arrow_map(light, run, "doc_id long, tie long, n long, s1 long, s2 long, keys array<long>, point binary")
 
 
-def _bounded_pairs(starts, ends, sizes, points) -> tuple[np.ndarray, np.ndarray]:
+class Known:
+    """Disjoint sets of ids, for what the trees of one task have connected so far."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def top(self, x: int) -> int:
+        up = self.up
+        while (y := up.get(x, x)) != x:
+            up[x] = up.get(y, y)
+            x = y
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.top(x), self.top(y)
+        if x == y:
+            return False
+        self.up[max(x, y)] = min(x, y)
+        return True
+
+
+def _bounded_pairs(starts, ends, ids, sizes, points, known: Known) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows that share a route and pass the bound: trees of one leaf all at once, by offset, larger ones by search."""
     left, right = [], []
     width = ends - starts
@@ -234,23 +284,30 @@ def _bounded_pairs(starts, ends, sizes, points) -> tuple[np.ndarray, np.ndarray]
         fits = (np.minimum(sizes[a], sizes[b]) * WHOLE >= PART * np.maximum(sizes[a], sizes[b]))
         a, b = a[fits], b[fits]
         need = needed(sizes[a], sizes[b])
-        plain = np.array([len(p) == GROUPS for p in points])
-        ok = np.zeros(len(a), bool)
-        easy = plain[a] & plain[b]
-        if easy.any():
-            flat = np.zeros((len(points), GROUPS), np.uint16)
-            flat[plain] = np.stack([p for p in points if len(p) == GROUPS])
-            at = np.flatnonzero(easy)
-            for k in range(0, len(at), 20_000):
-                i = at[k : k + 20_000]
-                ok[i] = np.minimum(flat[a[i]], flat[b[i]]).sum(1, dtype=np.int64) >= need[i]
-        for i in np.flatnonzero(~easy):
-            g = min(len(points[a[i]]), len(points[b[i]]))
+        groups, ok = np.array([len(p) for p in points]), np.zeros(len(a), bool)
+        for g in np.unique(groups).tolist():
+            at = np.flatnonzero((groups[a] == g) & (groups[b] == g))
+            rows = np.unique(np.concatenate([a[at], b[at]]))
+            flat = np.stack([points[r] for r in rows]) if len(rows) else np.zeros((0, g), np.uint16)
+            for k in range(0, len(at), 1 + 1_000_000 // g):
+                i = at[k : k + 1 + 1_000_000 // g]
+                ok[i] = np.minimum(flat[np.searchsorted(rows, a[i])], flat[np.searchsorted(rows, b[i])]).sum(1, dtype=np.int64) >= need[i]
+        for i in np.flatnonzero(groups[a] != groups[b]):
+            g = min(groups[a[i]], groups[b[i]])
             ok[i] = np.minimum(folded(points[a[i]], g), folded(points[b[i]], g)).sum() >= need[i]
         left, right = [a[ok]], [b[ok]]
     for s, e in zip(starts[width > FANOUT], ends[width > FANOUT], strict=True):
-        tree, forest = CountTree(sizes[s:e], points[s:e]), Forest(e - s)
-        got = [(s + i, s + int(j)) for i in range(e - s) for j in tree.near(int(sizes[s + i]), points[s + i]) if forest.join(i, int(j))]
+        mine = ids[s:e].tolist()
+        apart = len({known.top(x) for x in mine}) - 1
+        if not apart:  # copies share many routes: one of them connects them
+            continue
+        tree, got = Trees(sizes[s:e], points[s:e]), []
+        for i in range(e - s):
+            new = [(s + i, s + j) for j in tree.near(int(sizes[s + i]), points[s + i]).tolist() if known.join(mine[i], mine[j])]
+            got += new
+            apart -= len(new)
+            if not apart:
+                break
         left.append(np.array([x for x, _ in got], int))
         right.append(np.array([y for _, y in got], int))
     return (np.concatenate(left), np.concatenate(right)) if left else (np.array([], int), np.array([], int))
@@ -267,10 +324,11 @@ def candidate_edges(reps: DataFrame, tree: int = TREE) -> DataFrame:
     dealt = full.select("key", "rep", "n", "point").repartition("key").sortWithinPartitions("key")
 
     def run(batches):
+        known = Known()
         for t in row_groups(batches, ["key"]):
             ids, n = t.column("rep").to_numpy(), t.column("n").to_numpy()
             points = [np.frombuffer(x, "<u2") for x in t.column("point").to_pylist()]
-            i, j = _bounded_pairs(*runs(t.column("key").to_numpy()), n, points)
+            i, j = _bounded_pairs(*runs(t.column("key").to_numpy()), ids, n, points, known)
             a, b = ids[i], ids[j]
             pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1)[a != b], axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
@@ -291,7 +349,7 @@ def exact_forest(ids: np.ndarray, sets: list[np.ndarray], part: np.ndarray | Non
     if len(ids) == 2:
         return [(0, 1)] if forest.top(0) != forest.top(1) and linked(sets[0], sets[1]) else []
     sizes, points = np.array([len(s) for s in sets]), [point(s) for s in sets]
-    tree = CountTree(sizes, points)
+    tree = Trees(sizes, points)
     for i in range(len(ids)):
         if only is not None and not only[i]:
             continue
@@ -412,7 +470,7 @@ def _across(points: DataFrame, texts: DataFrame, edges: DataFrame, probe: int) -
                 # an outsider that is in the block as well comes twice, first as an outsider
                 at = s + np.flatnonzero(np.append(True, rep[s + 1 : e] != rep[s : e - 1]))
                 vectors = [np.frombuffer(x, "<u2") for x in t.column("point").take(pa.array(at)).to_pylist()]
-                tree = CountTree(n[at], vectors)
+                tree = Trees(n[at], vectors)
                 for x in np.flatnonzero(side[at] == 1):
                     near = tree.near(int(n[at[x]]), vectors[x])
                     near = near[part[at[near]] != part[at[x]]]
