@@ -85,7 +85,7 @@ def test_trees_of_all_sizes_find_every_link():
     """Sizes about the borders of the levels, next to very short and very long sets."""
     r = np.random.default_rng(8)
     sets = []
-    for n in (20, 230, 255, 256, 300, 900, 1023, 1024, 1200, 3500, 4095, 4096, 5000, 9000):
+    for n in (20, 450, 511, 512, 600, 1800, 2047, 2048, 2400, 7000, 8191, 8192, 9000, 17000):
         x = r.integers(0, 1 << 63, n).astype(np.uint64)
         sets += [np.unique(x), np.unique(np.concatenate([x[: int(n * 0.9)], r.integers(0, 1 << 63, max(1, n // 40)).astype(np.uint64)])), np.unique(np.concatenate([x, r.integers(0, 1 << 63, n // 5).astype(np.uint64)]))]
     sizes, points = np.array([len(s) for s in sets]), [N.point(s) for s in sets]
@@ -112,7 +112,7 @@ def test_linked_sets_share_a_route():
 
 def test_long_texts_use_finer_points():
     r = random.Random(3)
-    sizes = [N.n_groups(n) for n in (10, 500, 2000, 50_000)]
+    sizes = [N.n_groups(n) for n in (10, 600, 3000, 50_000)]
     assert sizes == sorted(set(sizes))
     p = N.point(np.unique(np.array([r.getrandbits(63) for _ in range(2000)], np.uint64)))
     assert N.folded(p, N.GROUPS).sum() == p.sum()
