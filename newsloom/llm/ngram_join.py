@@ -12,7 +12,8 @@ Distributed form:
 2. Shingles of very many documents (common lines and passages) are found by counting all shingles in
    CELLS cells; a cell is common when its count is far above the mean.
 3. Classes are routed to trees by prefix: the first n - ceil(0.8 n) + 1 hashes, common ones last, at least one of which
-   linked texts share, at any size. So no link is missed.
+   linked texts share, at any size. So no link is missed. Of routes with the same members one is kept, and a member
+   without another of a near enough size leaves its route.
 4. A tree with up to TREE members is searched with the bound; pairs that pass are reduced to a
    spanning forest. A larger tree's members all get an edge to its smallest member: no task holds it.
 5. Components of those edges are candidate groups. In each the sets are made anew from the text and
@@ -37,6 +38,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from newsloom.llm.common import arrow_map, components, cut, scratch, table, without
 from newsloom.llm.shingles import mixed, shingle_sets
@@ -317,10 +319,17 @@ def candidate_edges(reps: DataFrame, tree: int = TREE) -> DataFrame:
     """(a, b): a forest over the pairs that share a route and pass the bound of their count vectors."""
     # light rows alone are dealt by key, once for both sides of the join; most keys have one member
     posts = reps.select("rep", F.explode("keys").alias("key")).repartition("key")
-    sizes = posts.groupBy("key").agg(F.count("*").alias("c"), F.min("rep").alias("lead")).where("c > 1")
+    # keys of the same members (128 bits of them) lead to the same pairs: one of those keys is enough
+    marks = [F.bit_xor(F.xxhash64("rep", F.lit(i))).alias(f"h{i}") for i in (1, 2)]
+    sizes = posts.groupBy("key").agg(F.count("*").alias("c"), F.min("rep").alias("lead"), *marks).where("c > 1")
+    sizes = sizes.groupBy("c", "lead", "h1", "h2").agg(F.min("key").alias("key")).select("key", "c", "lead")
     met = cut(posts.join(sizes, "key"))
     stars = met.where(F.col("c") > tree).select(F.col("lead").alias("a"), F.col("rep").alias("b")).where("a <> b")
-    full = met.where(F.col("c") <= tree).select("key", "rep").join(reps.select("rep", "n", "point"), "rep")
+    # who has no neighbour in the order of sizes that is near enough to link has no partner under that key
+    order = Window.partitionBy("key").orderBy("n", "rep")
+    fits = (F.lag("n").over(order) * WHOLE >= F.col("n") * PART) | (F.col("n") * WHOLE >= F.lead("n").over(order) * PART)
+    sized = met.where(F.col("c") <= tree).select("key", "rep").join(reps.select("rep", "n"), "rep")
+    full = sized.withColumn("fits", fits).where("fits").select("key", "rep", "n").join(reps.select("rep", "point"), "rep")
     dealt = full.select("key", "rep", "n", "point").repartition("key").sortWithinPartitions("key")
 
     def run(batches):
