@@ -318,7 +318,9 @@ def _bounded_pairs(starts, ends, ids, sizes, points, known: Known) -> tuple[np.n
 def candidate_edges(reps: DataFrame, tree: int = TREE) -> DataFrame:
     """(a, b): a forest over the pairs that share a route and pass the bound of their count vectors."""
     # light rows alone are dealt by key, once for both sides of the join; most keys have one member
-    posts = reps.select("rep", F.explode("keys").alias("key")).repartition("key")
+    # (the test for nulls, of which there are none, stands here because the join would put it on its own side alone, and
+    # the shuffle would be made twice)
+    posts = reps.select("rep", F.explode("keys").alias("key")).where("key is not null").repartition("key")
     # keys of the same members (128 bits of them) lead to the same pairs: one of those keys is enough
     marks = [F.bit_xor(F.xxhash64("rep", F.lit(i))).alias(f"h{i}") for i in (1, 2)]
     sizes = posts.groupBy("key").agg(F.count("*").alias("c"), F.min("rep").alias("lead"), *marks).where("c > 1")
