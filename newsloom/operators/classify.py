@@ -120,21 +120,32 @@ def sentence_sums(text: Column, year: Column, diseases: Column, rules: Threshold
 
 
 def junk_features(articles: DataFrame, text: str = "text") -> DataFrame:
-    """Adds norm and the features of the first steps; text: null is empty."""
-    norm = articles.withColumn(text, F.coalesce(F.col(text), F.lit(""))).withColumn("norm", normalised(F.col(text)))
+    """Adds norm and the features of the first steps; text: null is empty.
+
+    norm and its lower case come from generators of one row: they are computed once, and filters on features stay above
+    them. Catalyst would else push the filters into the scan of all articles, where each search for a word would compute norm again.
+    """
+    filled = articles.withColumn(text, F.coalesce(F.col(text), F.lit("")))
+    norm = filled.select("*", F.explode(F.array(normalised(F.col(text)))).alias("norm"))
+    return _counted(norm.select("*", F.explode(F.array(F.lower("norm"))).alias("_low")))
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    """rows with norm and, for _low, the features that are read from them."""
     t, low = F.col("norm"), F.col("_low")
 
     def counted(name):
         return F.when(maybe(low, name), occurrences(t, name)).otherwise(0)
 
-    return norm.withColumn("_low", F.lower(t)).withColumns({
+    return rows.withColumns({
         "n_norm": F.length(t), "is_spam": maybe(low, "SPAM") & has(t, "SPAM"), "n_digits": digits(t), "n_dated": F.when(t.rlike(r"(?U)20\d\d"), occurrences(t, "DATE_HEAD")).otherwise(0),
         "n_flu": counted("FLU"), "n_animal": counted("ANIMAL_TERMS"), "_diseases": maybe(low, "OTHER_DIS")}).drop("_low")
 
 
 def features(articles: DataFrame, text: str = "text", year: str = "year", rules: Thresholds = Thresholds()) -> DataFrame:
     """Adds the junk features and, for texts that pass them and name flu, the sentence sums (zeros else)."""
-    f = junk_features(articles, text)
+    filled = articles.withColumn(text, F.coalesce(F.col(text), F.lit("")))
+    f = _counted(filled.withColumn("norm", normalised(F.col(text))).withColumn("_low", F.lower("norm")))
     passed = ~F.col("is_spam") & (F.col("n_norm") >= rules.min_chars) & ~(F.try_divide("n_digits", "n_norm") > rules.max_digit_ratio) & (F.col("n_dated") < rules.max_dated) & (F.col("n_flu") > 0)
     zero = F.struct(*[F.lit(0).alias(n) for n in SUMS])
     # a generator of one row: the sums are computed once, and filters on them stay above it (else Catalyst would push the

@@ -91,7 +91,7 @@ def junk_spam(spark, sf_dir):
 
 @query("junk_short", S.FEATURES, "SELECT record_id, CAST(n_norm AS BIGINT) AS n_norm FROM junk WHERE NOT is_spam AND n_norm < 300")
 def junk_short(spark, sf_dir):
-    return classify.junk_features(articles(spark, sf_dir)).where("not is_spam and n_norm < 300").select("record_id", F.col("n_norm").cast("long").alias("n_norm"))
+    return classify.junk_features(articles(spark, sf_dir)).where("n_norm < 300 and not is_spam").select("record_id", F.col("n_norm").cast("long").alias("n_norm"))
 
 
 @query("junk_listing", S.FEATURES, "SELECT record_id, CAST(n_digits AS BIGINT) AS n_digits, CAST(n_dated AS BIGINT) AS n_dated FROM junk WHERE NOT is_spam AND n_norm >= 300 AND (n_digits / n_norm > 0.05 OR n_dated >= 6)")

@@ -82,6 +82,15 @@ def test_the_cascade_is_spread_and_computed_once(spark):
     assert len(parts) == n
 
 
+@pytest.mark.parametrize("name", ["junk_short"])
+def test_filters_on_features_do_not_repeat_the_text_work(spark, name):
+    """White space is replaced at one place of the plan, above the joins that thin out the articles."""
+    from newsloom.plans import registry
+    plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(r"| [\x09-\x0d\x1c-\x20]+") == 1
+    assert plan.index("Filter") < plan.index("Generate") < plan.index("Join")
+
+
 def test_reason_and_input_columns(spark):
     rows = spark.createDataFrame([("x", "short", 2016, "old")], "record_id string, text string, year int, bucket string")
     r = classify.bucketed(rows).first()
