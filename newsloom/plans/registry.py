@@ -96,7 +96,7 @@ def junk_short(spark, sf_dir):
 
 @query("junk_listing", S.FEATURES, "SELECT record_id, CAST(n_digits AS BIGINT) AS n_digits, CAST(n_dated AS BIGINT) AS n_dated FROM junk WHERE NOT is_spam AND n_norm >= 300 AND (n_digits / n_norm > 0.05 OR n_dated >= 6)")
 def junk_listing(spark, sf_dir):
-    f = classify.junk_features(articles(spark, sf_dir)).where("not is_spam and n_norm >= 300 and (n_digits / nullif(n_norm, 0) > 0.05D or n_dated >= 6)")
+    f = classify.junk_features(articles(spark, sf_dir)).where("n_norm >= 300 and (n_digits / nullif(n_norm, 0) > 0.05D or n_dated >= 6) and not is_spam")
     return f.select("record_id", F.col("n_digits").cast("long").alias("n_digits"), F.col("n_dated").cast("long").alias("n_dated"))
 
 
