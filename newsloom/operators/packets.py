@@ -31,7 +31,8 @@ def deal(rows: DataFrame, seed: int = 42, labelers: list[str] = LABELERS) -> Dat
     number of labelers. The input is a sample of fixed size: its one ordered window is small.
     """
     n = len(labelers)
-    sized = rows.join(rows.groupBy("bucket").agg(F.count("*").alias("_size")), "bucket")
+    # a window, not a join with the counts: Spark would compute the rows, and the cascade below them, once for each side
+    sized = rows.withColumn("_size", F.count("*").over(Window.partitionBy("bucket")))
     order = Window.orderBy(F.desc("_size"), "bucket", drawn(seed, "deal", "record_id"), "record_id")
     dealt = sized.withColumn("_rank", F.row_number().over(order) - 1).withColumn("owner", F.pmod("_rank", F.lit(n)).cast("int"))
     dealt = dealt.withColumns({"packet_pos": (F.floor(F.col("_rank") / n) + 1).cast("int"), "useful_side": likely_useful(F.col("bucket"))})
@@ -47,11 +48,16 @@ def deal(rows: DataFrame, seed: int = 42, labelers: list[str] = LABELERS) -> Dat
 def sheets(dealt: DataFrame, labelers: list[str] = LABELERS) -> DataFrame:
     """Every labeler's sheet: own pilot, the next labeler's pilot to check, the rest; row numbers from one."""
     n = len(labelers)
-    pilot = dealt.where("pilot")
-    own = pilot.select("*", F.col("owner").alias("labeler_no"), F.lit("1-own").alias("round"), F.lit(1).alias("_part"), F.col("pilot_pos").alias("_at"))
-    check = pilot.select("*", F.pmod(F.col("owner") - 1, F.lit(n)).cast("int").alias("labeler_no"), F.concat(F.lit("1-check-"), _name(F.col("owner"), labelers)).alias("round"), F.lit(2).alias("_part"), F.col("pilot_pos").alias("_at"))
-    rest = dealt.where("not pilot").select("*", F.col("owner").alias("labeler_no"), F.lit("2").alias("round"), F.lit(3).alias("_part"), F.col("packet_pos").alias("_at"))
-    full = own.unionByName(check).unionByName(rest)
+
+    def place(labeler, name, part, at):
+        return F.struct(labeler.cast("int").alias("labeler_no"), name.alias("round"), F.lit(part).alias("_part"), F.col(at).cast("int").alias("_at"))
+
+    owner = F.col("owner")
+    own = place(owner, F.lit("1-own"), 1, "pilot_pos")
+    check = place(F.pmod(owner - 1, F.lit(n)), F.concat(F.lit("1-check-"), _name(owner, labelers)), 2, "pilot_pos")
+    rest = place(owner, F.lit("2"), 3, "packet_pos")
+    # one pass: each of three filtered branches would compute the packets, and the cascade below them, again
+    full = dealt.select("*", F.inline(F.when(F.col("pilot"), F.array(own, check)).when(~F.col("pilot"), F.array(rest))))
     order = Window.partitionBy("labeler_no").orderBy("_part", "_at")
     return full.select(F.row_number().over(order).alias("row"), "round", F.col("record_id").alias("article_id"), F.col("url").alias("link"), "scan_date", _name(F.col("labeler_no"), labelers).alias("labeler"), *(["text"] if "text" in dealt.columns else []))
 

@@ -281,3 +281,13 @@ def test_files_that_are_refused(spark, dealt, tmp_path):
 def test_pool_keeps_english_alone(spark):
     rows = spark.createDataFrame([("a", "en"), ("b", "fr"), ("c", None)], "gkg_record_id string, lang string")
     assert [r[0] for r in pool.english(rows).collect()] == ["a"] and pool.english(rows.drop("lang")).count() == 3
+
+
+CASCADE = "Generate explode("  # the generator that holds the cascade
+
+
+@pytest.mark.parametrize("name", ["packet_sheet_rows"])
+def test_packets_compute_the_cascade_once(spark, name):
+    from newsloom.plans import registry
+    plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(CASCADE) == 1
