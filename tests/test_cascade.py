@@ -82,7 +82,7 @@ def test_the_cascade_is_spread_and_computed_once(spark):
     assert len(parts) == n
 
 
-@pytest.mark.parametrize("name", ["junk_short", "junk_listing"])
+@pytest.mark.parametrize("name", ["junk_short", "junk_listing", "junk_spam"])
 def test_filters_on_features_do_not_repeat_the_text_work(spark, name):
     """White space is replaced at one place of the plan, above the joins that thin out the articles."""
     from newsloom.plans import registry
