@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import atexit
 import os
-import shutil
-import tempfile
 import uuid
 from contextlib import contextmanager
 from pathlib import Path
@@ -14,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from newsloom.session import remove as _remove
+from newsloom.session import shared_dir
 
 WIDE = 1000  # bucket totals that are summed in one window
 
@@ -22,31 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. Only where none is named, and driver and executors are one machine's, as in
-    tests, it is a folder of our own; a cluster without one is refused."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not named:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir names no folder that the executors share")
-        named = getattr(spark.sparkContext, "_newsloom_dir", None)
-        if not named:
-            named = "file://" + tempfile.mkdtemp(prefix="newsloom-")
-            spark.sparkContext._newsloom_dir = named
-            atexit.register(shutil.rmtree, named.removeprefix("file://"), True)
-    return named
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the session has ended: its folder goes with it
-        pass
-
-
 #: Tables written by cut() in each open scratch(), innermost last.
 _scratch: list[list[str]] = []
 

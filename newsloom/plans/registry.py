@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from newsloom.functions import text as X
 from newsloom.operators import classify, packets, pool, sampling, statements
 from newsloom.plans import sql as S
-from newsloom.session import table
+from newsloom.session import kept, table
 from newsloom.sources import adapter
 
 _QUERIES: dict[str, Callable] = {}
@@ -57,6 +57,11 @@ def sample(spark, sf_dir):
     return sampling.draw(buckets(spark, sf_dir).drop("text"))
 
 
+def cells(spark, sf_dir):
+    """The buckets' rows with what cells and their draw need, computed once for queries that use them twice."""
+    return kept(buckets(spark, sf_dir).select("record_id", "bucket", "year", *sampling.CELL))
+
+
 def dealt(spark, sf_dir):
     return packets.deal(sample(spark, sf_dir))
 
@@ -435,7 +440,7 @@ def pool_weighted_rate(spark, sf_dir):
 @query("pool_cell_rate", S.SAMPLE, """SELECT round(sum(n * positive / drawn) / sum(n) FILTER (drawn > 0), 6) AS rate, round(sum(n) FILTER (drawn > 0) / sum(n), 6) AS covered, CAST(sum(n) AS BIGINT) AS n, CAST(sum(drawn) AS BIGINT) AS drawn FROM (
   SELECT name, country, season, phase, count(*) AS n FROM qn GROUP BY ALL) LEFT JOIN (SELECT name, country, season, phase, count(*) AS drawn, count(*) FILTER (year = 2016) AS positive FROM sample GROUP BY ALL) USING (name, country, season, phase)""")
 def pool_cell_rate(spark, sf_dir):
-    rows = buckets(spark, sf_dir).drop("text")
+    rows = cells(spark, sf_dir)
     return sampling.cell_rate(sampling.draw(rows).withColumn("hit", F.col("year") == 2016), rows, "hit")
 
 

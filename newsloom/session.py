@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -25,3 +30,37 @@ def session(master: str = "local[8]", partitions: int = 8) -> SparkSession:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables of a folder, by any path that Spark reads."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share. Only where none is named, and driver and executors are one machine's, as in
+    tests, it is a folder of our own; a cluster without one is refused."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not named:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir names no folder that the executors share")
+        named = getattr(spark.sparkContext, "_newsloom_dir", None)
+        if not named:
+            named = "file://" + tempfile.mkdtemp(prefix="newsloom-")
+            spark.sparkContext._newsloom_dir = named
+            atexit.register(shutil.rmtree, named.removeprefix("file://"), True)
+    return named
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    try:
+        jvm = spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # the session has ended: its folder goes with it
+        pass
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df, computed once: written to the shared folder and read back. The table goes with the program."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/newsloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(remove, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
