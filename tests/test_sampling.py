@@ -286,7 +286,7 @@ def test_pool_keeps_english_alone(spark):
 CASCADE = "Generate explode("  # the generator that holds the cascade
 
 
-@pytest.mark.parametrize("name", ["packet_sheet_rows", "assignment_key", "deal_packets"])
+@pytest.mark.parametrize("name", ["packet_sheet_rows", "assignment_key", "deal_packets", "packet_mix", "pilot_pick"])
 def test_packets_compute_the_cascade_once(spark, name):
     from newsloom.plans import registry
     plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
