@@ -293,7 +293,7 @@ def test_packets_compute_the_cascade_once(spark, name):
     assert plan.count(CASCADE) == 1
 
 
-@pytest.mark.parametrize("name", ["pool_cell_rate"])
+@pytest.mark.parametrize("name", ["pool_weighted_rate", "pool_cell_rate"])
 def test_rates_read_rows_that_were_computed_once(spark, name):
     from newsloom.plans import registry
     plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
