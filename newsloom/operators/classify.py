@@ -137,8 +137,10 @@ def _counted(rows: DataFrame) -> DataFrame:
     def counted(name):
         return F.when(maybe(low, name), occurrences(t, name)).otherwise(0)
 
+    # one condition, not two joined by "and": of a filter, the dear half would be pushed below _low, to all texts
+    spam = F.when(maybe(low, "SPAM"), has(t, "SPAM")).otherwise(False)
     return rows.withColumns({
-        "n_norm": F.length(t), "is_spam": maybe(low, "SPAM") & has(t, "SPAM"), "n_digits": digits(t), "n_dated": F.when(t.rlike(r"(?U)20\d\d"), occurrences(t, "DATE_HEAD")).otherwise(0),
+        "n_norm": F.length(t), "is_spam": spam, "n_digits": digits(t), "n_dated": F.when(t.rlike(r"(?U)20\d\d"), occurrences(t, "DATE_HEAD")).otherwise(0),
         "n_flu": counted("FLU"), "n_animal": counted("ANIMAL_TERMS"), "_diseases": maybe(low, "OTHER_DIS")}).drop("_low")
 
 

@@ -91,6 +91,15 @@ def test_filters_on_features_do_not_repeat_the_text_work(spark, name):
     assert plan.index("Filter") < plan.index("Generate") < plan.index("Join")
 
 
+@pytest.mark.parametrize("name", ["junk_short", "junk_listing", "junk_spam"])
+def test_spam_is_searched_behind_its_beginnings(spark, name):
+    """The dear pattern stands above the lower-case text, which is searched for plain beginnings first."""
+    from newsloom.plans import registry
+    plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(?iU)ugbet") == 1
+    assert plan.index(r"\Q404 not found\E") < plan.index("(?iU)ugbet") < plan.index("Generate")
+
+
 def test_reason_and_input_columns(spark):
     rows = spark.createDataFrame([("x", "short", 2016, "old")], "record_id string, text string, year int, bucket string")
     r = classify.bucketed(rows).first()
