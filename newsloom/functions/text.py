@@ -46,9 +46,12 @@ ODD_CASE = "ſKİı"
 
 def maybe(low: Column, name: str) -> Column:
     """Whether a pattern of alternatives can match at all: low, the text in lower case, holds the beginning of one of
-    them or a character of odd case. Each beginning is searched as plain text by Java's patterns, which skip along the
-    text and are a tenth as dear as `contains` for each; low should be a column, not an expression, which each would compute again."""
+    them or a character of odd case. Whole words are searched in one pass, where words begin. Of others each beginning is
+    searched as plain text by Java's patterns, which skip along the text and are a tenth as dear as `contains` for each;
+    low should be a column, not an expression, which each would compute again."""
     odd = ~plain(low) & low.rlike(f"[{ODD_CASE}\u0307]")
+    if L.whole_words(name):
+        return odd | low.rlike(L.word_beginnings(name))
     starts = L.beginnings(name)
     least = [x for x in starts if not any(y in x for y in starts if y != x)]
     return reduce(lambda a, x: a | low.rlike(rf"\Q{x}\E"), least, odd)

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.functions.text import digits, flu_in, has, let, maybe, normalised, occurrences, sentences, year_number
+from newsloom.functions.text import digits, flu_in, has, let, maybe, normalised, occurrences, plain, sentences, year_number
 from newsloom.functions import lexicon as L
 
 
@@ -103,10 +103,11 @@ def sentence_sums(text: Column, year: Column, diseases: Column, rules: Threshold
     zero = F.struct(*[F.lit(0).alias(n) for n in EVIDENCE])
 
     def summed(kept, flu):
-        def placed(s, i):
-            here = F.get(flu, i)
-            near = here | F.coalesce(F.get(flu, i - 1), F.lit(False)) | F.coalesce(F.get(flu, i + 1), F.lit(False))
-            return F.struct(s.alias("s"), here.alias("flu"), near.alias("near"))
+        def near(f, i):
+            return F.when(f | F.coalesce(F.get(flu, i - 1), F.lit(False)) | F.coalesce(F.get(flu, i + 1), F.lit(False)), i)
+
+        def placed(i):
+            return F.struct(F.get(kept, i).alias("s"), F.get(flu, i).alias("flu"))
 
         def sums(near):
             flags = F.transform(near, lambda x: _flags(x["s"], x["flu"], year, diseases, rules))
@@ -114,7 +115,8 @@ def sentence_sums(text: Column, year: Column, diseases: Column, rules: Threshold
                 F.when(diseases, F.size(F.filter(kept, lambda s: has(s, "OTHER_DIS")))).otherwise(0).alias("other_disease"),
                 F.size(F.filter(flu, lambda f: f)).alias("flu"), F.size(near).alias("near"), *[e[n].alias(n) for n in EVIDENCE]))
 
-        return let(F.filter(F.transform(kept, placed), lambda x: x["near"]), sums)
+        # places alone go through the filter: a few sentences of a text are near a flu term
+        return let(F.transform(F.filter(F.transform(flu, near), lambda i: i.isNotNull()), placed), sums)
 
     return let(sentences(text), lambda kept: let(F.transform(kept, flu_in), lambda flu: summed(kept, flu)))
 
@@ -135,7 +137,8 @@ def _counted(rows: DataFrame) -> DataFrame:
     t, low = F.col("norm"), F.col("_low")
 
     def counted(name):
-        return F.when(maybe(low, name), occurrences(t, name)).otherwise(0)
+        simple = F.regexp_count(low, F.lit(L.low_ascii(name))).cast("int")
+        return F.when(plain(t), simple).when(maybe(low, name), occurrences(t, name)).otherwise(0)
 
     # one condition, not two joined by "and": of a filter, the dear half would be pushed below _low, to all texts
     spam = F.when(maybe(low, "SPAM"), has(t, "SPAM")).otherwise(False)
