@@ -129,6 +129,26 @@ def test_search_by_starts_finds_the_same(spark):
     assert [r["a"] for r in rows] == [r["b"] for r in rows] and sum(r["a"] for r in rows) >= 7
 
 
+def test_words_that_hold_a_disease_are_not_one(spark):
+    """Beginnings of whole words count at the beginning of a word alone: else most texts would be searched for diseases."""
+    no = ["farmers counted large numbers of raids after the football outbreak", "stb 5tb _tb étb", "aflu inh1n1", "chick duc"]
+    yes = {"OTHER_DIS": ["tb", "a tb b", "x-aids", "(mers)", "\nrsv", "é tb", "①tb", "-ſars", "aİds"], "FLU": ["flu", "é-flu", "“h1n1”", "ınfluenza"], "ANIMAL_TERMS": ["ducks", "the\tflock", "chicKen", "ﬂ avian flu"]}
+    for name, texts in yes.items():
+        rows = spark.createDataFrame([(t,) for t in no + texts], "t string").select(X.maybe(F.lower("t"), name).alias("m"), X.has(F.col("t"), name).alias("h")).collect()
+        assert not any(r["h"] and not r["m"] for r in rows), name
+        assert [r["m"] for r in rows] == [False] * len(no) + [True] * len(texts), name
+
+
+def test_counts_of_words_are_those_of_the_patterns(spark):
+    """ASCII texts are counted in lower case without flags, others as they are."""
+    texts = SAMPLES + PHRASES + ["FLU Flu fluent aflu flu_ flu-flu H1N1h1n1 h1n1 BIRD FLU bird  flu Avian Influenza", "ﬂu Flu ſwine flu", "é flu INFLUENZA ıNFLUENZA", "DUCK ducks. Ducks' chickenpox Chickens CULLED culling", "canards, DUCKS é chicKens"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    plan = classify.junk_features(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert L.low_ascii("FLU") in plan and L.low_ascii("ANIMAL_TERMS") in plan
+    got = classify.junk_features(rows).select("n_flu", "n_animal", X.occurrences(F.col("norm"), "FLU").alias("f"), X.occurrences(F.col("norm"), "ANIMAL_TERMS").alias("a")).collect()
+    assert [(r["n_flu"], r["n_animal"]) for r in got] == [(r["f"], r["a"]) for r in got] and sum(r["f"] for r in got) > 60 and sum(r["a"] for r in got) > 10
+
+
 def test_sentences_digits_and_spaces(spark):
     texts = ["One. Two!  Three?\n\nFour", "a.b. c", "", " \n ", "x\x1cy.\x85z", "² ١٢ 12 ①"]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
