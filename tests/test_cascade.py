@@ -149,6 +149,18 @@ def test_counts_of_words_are_those_of_the_patterns(spark):
     assert [(r["n_flu"], r["n_animal"]) for r in got] == [(r["f"], r["a"]) for r in got] and sum(r["f"] for r in got) > 60 and sum(r["a"] for r in got) > 10
 
 
+def test_sentences_near_flu_are_taken_by_their_places(spark):
+    """No struct is made for a sentence that is not near a flu term."""
+    texts = ["Flu.", "None.", "", " \n ", "A. B. Flu C. D. E. Flu F.", "Flu A. Flu B. C. D. E", "A. B. C. flu", "flu A. B. flu C. D. E. F. G. flu H. I"]
+    rows = spark.createDataFrame([(t, 2016) for t in texts], "t string, year int").select("t", classify.sentence_sums(F.col("t"), F.col("year"), F.lit(True)).alias("sums"))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(", near, ") == 1  # that of the sums
+    for r in rows.collect():
+        here = ["flu" in s.lower() for s in re.split(r"(?<=[.!?])\s+|\n+", r["t"]) if s.strip()]
+        near = [any(here[max(0, i - 1):i + 2]) for i in range(len(here))]
+        assert (r["sums"]["flu"], r["sums"]["near"]) == (sum(here), sum(near)), r["t"]
+
+
 def test_sentences_digits_and_spaces(spark):
     texts = ["One. Two!  Three?\n\nFour", "a.b. c", "", " \n ", "x\x1cy.\x85z", "² ١٢ 12 ①"]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
