@@ -40,6 +40,11 @@ def has(text: Column, name: str) -> Column:
     return text.rlike(L.java(name))
 
 
+def has_low(text: Column, low: Column, ascii_alone: Column, name: str) -> Column:
+    """has(text, name), with the cheaper pattern where the text is ASCII alone; low is its lower case."""
+    return F.when(ascii_alone, low.rlike(L.low_search(name))).otherwise(has(text, name))
+
+
 #: Characters that match an ASCII letter when case is ignored, but whose lower case is another one.
 ODD_CASE = "ſKİı"
 
@@ -68,7 +73,7 @@ def occurrences(text: Column, name: str) -> Column:
 
 def sentences(text: Column) -> Column:
     """The sentences of a text that hold more than white space."""
-    return F.filter(F.split(text, f"(?U){L.SENTENCE}", -1), lambda s: s.rlike(f"(?U)[^{L.SPACE}]"))
+    return F.filter(F.split(text, f"(?U){L.SENTENCE}", -1), lambda s: F.ascii(s).between(33, 126) | s.rlike(f"(?U)[^{L.SPACE}]"))
 
 
 def drawn(seed: int, step: str, *key: Column | str) -> Column:

@@ -7,11 +7,12 @@ cascade is one narrow projection at any size.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.functions.text import digits, flu_in, has, let, maybe, normalised, occurrences, plain, sentences, year_number
+from newsloom.functions.text import digits, flu_in, has, has_low, let, maybe, normalised, occurrences, plain, sentences, year_number
 from newsloom.functions import lexicon as L
 
 
@@ -58,41 +59,51 @@ EVIDENCE = ["idiom", "research", "past", "business", "policy", "aware", "numbere
 SUMS = ["other_disease", "flu", "near", *EVIDENCE]
 
 
-def _flags(s: Column, flu: Column, year: Column, diseases: Column, rules: Thresholds) -> Column:
-    """What one sentence near a flu term counts for, in the order of EVIDENCE. Conditions stand before dearer ones."""
+def _flags(x: Column, year: Column, diseases: Column, rules: Thresholds) -> Column:
+    """What one sentence near a flu term counts for, in the order of EVIDENCE. Conditions stand before dearer ones.
+
+    x: the sentence s, whether it holds a flu term, its lower case and whether it is ASCII alone. A sentence without a flu
+    term counts by a case, a response or bird flu alone: one that names none of them is not looked at further.
+    """
+    s, flu = x["s"], x["flu"]
+
+    def found(name):
+        return has(s, name) if name in L.CASED else has_low(s, x["low"], x["ascii"], name)
+
     base = F.struct(
-        has(s, "CUR").alias("cur"), has(s, "AWARE").alias("aware"), has(s, "HYPO").alias("hypo"), has(s, "GENERIC").alias("generic"),
-        (has(s, "HIST") & ~has(s, "COMPARE")).alias("past"), has(s, "RESEARCH").alias("research"), has(s, "BUSINESS").alias("business"))
+        found("CUR").alias("cur"), found("AWARE").alias("aware"), found("HYPO").alias("hypo"), found("GENERIC").alias("generic"),
+        (found("HIST") & ~found("COMPARE")).alias("past"), found("RESEARCH").alias("research"), found("BUSINESS").alias("business"))
 
     def full(b):
-        animal_only = has(s, "ANIMAL") & ~has(s, "HUMAN")
-        bird = has(s, "ZOON_SUB") & has(s, "ZOON_HUM_WIDE" if rules.wide_zoonotic else "ZOON_HUM") & ~has(s, "ZOON_NEG")
-        walked = ~(b["research"] & ~b["cur"]) & ~(~flu & diseases & has(s, "OTHER_DIS")) & ~animal_only
+        animal_only = found("ANIMAL") & ~found("HUMAN")
+        bird = found("ZOON_SUB") & found("ZOON_HUM_WIDE" if rules.wide_zoonotic else "ZOON_HUM") & ~found("ZOON_NEG")
+        walked = ~(b["research"] & ~b["cur"]) & ~(~flu & diseases & found("OTHER_DIS")) & ~animal_only
 
         def evidence(w):
             def counted(c):
                 number, sick = c["number"], c["sick"]
-                person = has(s, "INDIVIDUAL") & ~b["aware"] & ~b["hypo"] & ~has(s, "ADVICE")
-                rate = ~b["cur"] & ~sick & (b["aware"] | has(s, "RATE"))
-                case = w & (number | sick | has(s, "EVENT_C") | person) & ~b["generic"] & ~rate
+                person = found("INDIVIDUAL") & ~b["aware"] & ~b["hypo"] & ~found("ADVICE")
+                rate = ~b["cur"] & ~sick & (b["aware"] | found("RATE"))
+                case = w & (number | sick | found("EVENT_C") | person) & ~b["generic"] & ~rate
                 years = F.regexp_extract_all(s, F.lit(L.java("YEAR")), F.lit(1))
-                old = F.exists(years, lambda y: year_number(y) <= year - 2) | has(s, "DECADE")
+                old = F.exists(years, lambda y: year_number(y) <= year - 2) | found("DECADE")
                 return F.struct(case.alias("case"), number.alias("number"), (case & ~b["cur"] & (b["past"] | old)).alias("history"))
 
-            number = w & (has(s, "COUNT_A") | has(s, "COUNT_B") | has(s, "COUNT_C"))
-            return let(F.struct(number.alias("number"), (w & has(s, "SICK_NOW")).alias("sick")), counted)
+            number = w & (found("COUNT_A") | found("COUNT_B") | found("COUNT_C"))
+            return let(F.struct(number.alias("number"), (w & found("SICK_NOW")).alias("sick")), counted)
 
-        barred = b["business"] | has(s, "SPORT") | b["past"] | (~b["cur"] & has(s, "OLDYEAR")) | has(s, "NONFLU_EMERG") | has(s, "NEG_EVID")
-        wording = ~(b["aware"] | b["generic"] | b["hypo"] | has(s, "PHARMA")) & has(s, "TREND_NEAR")
-        trend = flu & ~barred & (wording | (~b["hypo"] & has(s, "STATUS")))
+        barred = b["business"] | found("SPORT") | b["past"] | (~b["cur"] & found("OLDYEAR")) | found("NONFLU_EMERG") | found("NEG_EVID")
+        wording = ~(b["aware"] | b["generic"] | b["hypo"] | found("PHARMA")) & found("TREND_NEAR")
+        trend = flu & ~barred & (wording | (~b["hypo"] & found("STATUS")))
         number = lambda c: c.cast("int")
         return let(walked, lambda w: let(evidence(w), lambda e: F.struct(
-            number(flu & has(s, "IDIOM")).alias("idiom"), number(flu & b["research"]).alias("research"),
-            number(flu & b["past"]).alias("past"), number(flu & b["business"]).alias("business"), number(flu & has(s, "POLICY")).alias("policy"), number(flu & b["aware"]).alias("aware"),
+            number(flu & found("IDIOM")).alias("idiom"), number(flu & b["research"]).alias("research"),
+            number(flu & b["past"]).alias("past"), number(flu & b["business"]).alias("business"), number(flu & found("POLICY")).alias("policy"), number(flu & b["aware"]).alias("aware"),
             number(e["case"] & ~e["history"] & e["number"]).alias("numbered"), number(e["case"] & ~e["history"] & ~e["number"]).alias("event"), number(e["history"]).alias("history"),
-            number(e["case"] & ~e["history"] & b["cur"]).alias("anchored"), number(w & trend).alias("trend"), number(w & has(s, "RESPONSE")).alias("response"), number(bird).alias("bird_flu_human"))))
+            number(e["case"] & ~e["history"] & b["cur"]).alias("anchored"), number(w & trend).alias("trend"), number(w & found("RESPONSE")).alias("response"), number(bird).alias("bird_flu_human"))))
 
-    return let(base, full)
+    named = reduce(lambda a, n: a | found(n), ["COUNT_A", "COUNT_B", "COUNT_C", "SICK_NOW", "EVENT_C", "INDIVIDUAL", "RESPONSE", "ZOON_SUB"], flu)
+    return F.when(named, let(base, full)).otherwise(F.struct(*[F.lit(0).alias(n) for n in EVIDENCE]))
 
 
 def sentence_sums(text: Column, year: Column, diseases: Column, rules: Thresholds = Thresholds()) -> Column:
@@ -107,12 +118,12 @@ def sentence_sums(text: Column, year: Column, diseases: Column, rules: Threshold
             return F.when(f | F.coalesce(F.get(flu, i - 1), F.lit(False)) | F.coalesce(F.get(flu, i + 1), F.lit(False)), i)
 
         def placed(i):
-            return F.struct(F.get(kept, i).alias("s"), F.get(flu, i).alias("flu"))
+            return let(F.get(kept, i), lambda s: F.struct(s.alias("s"), F.get(flu, i).alias("flu"), F.lower(s).alias("low"), plain(s).alias("ascii")))
 
         def sums(near):
-            flags = F.transform(near, lambda x: _flags(x["s"], x["flu"], year, diseases, rules))
+            flags = F.transform(near, lambda x: _flags(x, year, diseases, rules))
             return let(F.aggregate(flags, zero, lambda a, x: F.struct(*[(a[n] + x[n]).alias(n) for n in EVIDENCE])), lambda e: F.struct(
-                F.when(diseases, F.size(F.filter(kept, lambda s: has(s, "OTHER_DIS")))).otherwise(0).alias("other_disease"),
+                F.when(diseases, F.size(F.filter(kept, lambda s: has_low(s, F.lower(s), plain(s), "OTHER_DIS")))).otherwise(0).alias("other_disease"),
                 F.size(F.filter(flu, lambda f: f)).alias("flu"), F.size(near).alias("near"), *[e[n].alias(n) for n in EVIDENCE]))
 
         # places alone go through the filter: a few sentences of a text are near a flu term
@@ -132,25 +143,27 @@ def junk_features(articles: DataFrame, text: str = "text") -> DataFrame:
     return _counted(norm.select("*", F.explode(F.array(F.lower("norm"))).alias("_low")))
 
 
-def _counted(rows: DataFrame) -> DataFrame:
-    """rows with norm and, for _low, the features that are read from them."""
+def _counted(rows: DataFrame, words: str = "_low") -> DataFrame:
+    """rows with norm and, for _low, the features that are read from them. words: what an ASCII text's topics are counted in."""
     t, low = F.col("norm"), F.col("_low")
 
     def counted(name):
-        simple = F.regexp_count(low, F.lit(L.low_ascii(name))).cast("int")
+        simple = F.regexp_count(words, F.lit(L.low_ascii(name))).cast("int")
         return F.when(plain(t), simple).when(maybe(low, name), occurrences(t, name)).otherwise(0)
 
     # one condition, not two joined by "and": of a filter, the dear half would be pushed below _low, to all texts
     spam = F.when(maybe(low, "SPAM"), has(t, "SPAM")).otherwise(False)
     return rows.withColumns({
         "n_norm": F.length(t), "is_spam": spam, "n_digits": digits(t), "n_dated": F.when(t.rlike(r"(?U)20\d\d"), occurrences(t, "DATE_HEAD")).otherwise(0),
-        "n_flu": counted("FLU"), "n_animal": counted("ANIMAL_TERMS"), "_diseases": maybe(low, "OTHER_DIS")}).drop("_low")
+        "n_flu": counted("FLU"), "n_animal": counted("ANIMAL_TERMS"), "_diseases": F.when(plain(t), F.col(words).rlike(L.word_beginnings("OTHER_DIS"))).otherwise(maybe(low, "OTHER_DIS"))}).drop("_low", words)
 
 
 def features(articles: DataFrame, text: str = "text", year: str = "year", rules: Thresholds = Thresholds()) -> DataFrame:
     """Adds the junk features and, for texts that pass them and name flu, the sentence sums (zeros else)."""
     filled = articles.withColumn(text, F.coalesce(F.col(text), F.lit("")))
-    f = _counted(filled.withColumn("norm", normalised(F.col(text))).withColumn("_low", F.lower("norm")))
+    low = filled.withColumn("norm", normalised(F.col(text))).withColumn("_low", F.lower("norm"))
+    # the words of all topics in one pass, not in one for each topic
+    f = _counted(low.withColumn("_words", F.when(plain(F.col("norm")), F.array_join(F.regexp_extract_all("_low", F.lit(L.topic_words()), F.lit(0)), " "))), "_words")
     passed = ~F.col("is_spam") & (F.col("n_norm") >= rules.min_chars) & ~(F.try_divide("n_digits", "n_norm") > rules.max_digit_ratio) & (F.col("n_dated") < rules.max_dated) & (F.col("n_flu") > 0)
     zero = F.struct(*[F.lit(0).alias(n) for n in SUMS])
     # a generator of one row: the sums are computed once, and filters on them stay above it (else Catalyst would push the

@@ -149,6 +149,44 @@ def test_counts_of_words_are_those_of_the_patterns(spark):
     assert [(r["n_flu"], r["n_animal"]) for r in got] == [(r["f"], r["a"]) for r in got] and sum(r["f"] for r in got) > 60 and sum(r["a"] for r in got) > 10
 
 
+SENTENCE_NAMES = ["CUR", "AWARE", "HYPO", "GENERIC", "HIST", "COMPARE", "RESEARCH", "BUSINESS", "ANIMAL", "HUMAN", "ZOON_SUB", "ZOON_HUM", "ZOON_HUM_WIDE", "ZOON_NEG", "OTHER_DIS", "INDIVIDUAL", "ADVICE", "RATE", "EVENT_C",
+                  "COUNT_A", "COUNT_B", "COUNT_C", "SICK_NOW", "SPORT", "NONFLU_EMERG", "NEG_EVID", "PHARMA", "TREND_NEAR", "STATUS", "IDIOM", "POLICY", "RESPONSE"]
+
+
+def test_ascii_sentences_are_searched_in_lower_case(spark):
+    """The patterns of the cascade's plan are those for lower case, and they find what the patterns themselves find."""
+    texts = SAMPLES + PHRASES + [t for _, t in CASES] + ["1,200 NEW Patients; 5% per cent. (Monday) _monday xmonday", "And prevent, prevented", "a man with h5n1; a\tman\nof h5n1", "In the 1990S", "TO DATE\x1ftoday", "", "9", "per 100000", "é today", "today é"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    t, low = F.col("t"), F.lower("t")
+    got = rows.select("t", *[F.struct(X.has(t, n), X.has_low(t, low, X.plain(t), n)).alias(n) for n in SENTENCE_NAMES]).collect()
+    for n in SENTENCE_NAMES:
+        assert all(a == b for a, b in (r[n] for r in got)), n
+        assert L.low_search(n).endswith(getattr(L, n)) or L.low_search(n).endswith(f"(?:{getattr(L, n)})")
+    plan = rows.select(classify.sentence_sums(t, F.lit(2016), F.lit(True)))._jdf.queryExecution().optimizedPlan().toString()
+    assert all(L.low_search(n) in plan for n in ("TREND_NEAR", "COUNT_A", "CUR", "OTHER_DIS"))
+    assert sum(L.low_search(n) != getattr(L, n) for n in SENTENCE_NAMES) == len(SENTENCE_NAMES) - 1  # all but SICK_NOW
+    with pytest.raises(ValueError, match="case"):
+        L.low_search("YEAR")
+
+
+def test_plain_beginnings_of_patterns():
+    assert L._prefixes(re._parser.parse(r"\b(?:a[bc]?d|x+|\dz|(?:no )?w\w)"), 3) == ({"abd", "acd", "ad", *[f"{i}z" for i in range(10)]} - {"abd", "acd"}, {"abd", "acd", "", "w", "no "})
+
+
+def test_topics_are_counted_in_one_pass(spark):
+    """The words found, joined, give the counts and the gate of the texts that they are from."""
+    texts = [t for t in SAMPLES + PHRASES + [t for _, t in CASES] if t.isascii()] + ["Swine flu, swine-flu; bird flu bird flue avian avian flu avian influenza avian h5n1 bird", "TB strep HIV archive farmers yellow fever yellow whooping cough coughs", "bird flu flu bird\nflu", "ducks' chickens culled cull", "h5n2 h5n1 h1n1h1n1 h9n2 flu_ flu-flu"]
+    rows = spark.createDataFrame([(FILL + t, 2016) for t in texts], "text string, year int")
+    plan = classify.features(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(L.topic_words()) == 1
+    got = classify.features(rows).select("text", "n_flu", "n_animal").collect()
+    norm = X.normalised(F.col("text"))
+    want = rows.select("text", X.occurrences(norm, "FLU").alias("n_flu"), X.occurrences(norm, "ANIMAL_TERMS").alias("n_animal")).collect()
+    assert sorted(got) == sorted(want) and sum(r["n_animal"] for r in got) > 15
+    found = rows.select(F.array_join(F.regexp_extract_all(F.lower(norm), F.lit(L.topic_words()), F.lit(0)), " ").alias("w"), X.has(norm, "OTHER_DIS").alias("d"))
+    assert all(not r["d"] or r["m"] for r in found.select("d", F.col("w").rlike(L.word_beginnings("OTHER_DIS")).alias("m")).collect())
+
+
 def test_sentences_near_flu_are_taken_by_their_places(spark):
     """No struct is made for a sentence that is not near a flu term."""
     texts = ["Flu.", "None.", "", " \n ", "A. B. Flu C. D. E. Flu F.", "Flu A. Flu B. C. D. E", "A. B. C. flu", "flu A. B. flu C. D. E. F. G. flu H. I"]
