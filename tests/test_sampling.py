@@ -293,6 +293,14 @@ def test_packets_compute_the_cascade_once(spark, name):
     assert plan.count(CASCADE) == 1
 
 
+@pytest.mark.parametrize("name", ["packet_mix", "deal_packets"])
+def test_packets_search_ascii_texts_by_the_cheaper_patterns(spark, name):
+    from newsloom.functions import lexicon
+    from newsloom.plans import registry
+    plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(lexicon.topic_words()) == 1 and lexicon.low_search("TREND_NEAR") in plan
+
+
 @pytest.mark.parametrize("name", ["pool_weighted_rate", "pool_cell_rate"])
 def test_rates_read_rows_that_were_computed_once(spark, name):
     from newsloom.plans import registry
