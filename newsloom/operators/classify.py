@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions.text import digits, flu_in, has, has_low, let, maybe, normalised, occurrences, plain, sentences, year_number
 from newsloom.functions import lexicon as L
+from newsloom.functions.screen import screened
 
 
 @dataclass(frozen=True)
@@ -140,36 +141,42 @@ def junk_features(articles: DataFrame, text: str = "text") -> DataFrame:
     """
     filled = articles.withColumn(text, F.coalesce(F.col(text), F.lit("")))
     norm = filled.select("*", F.explode(F.array(normalised(F.col(text)))).alias("norm"))
-    return _counted(norm.select("*", F.explode(F.array(F.lower("norm"))).alias("_low")))
+    rows = norm.select("*", F.explode(F.array(F.lower("norm"))).alias("_low"))
+    t, low = F.col("norm"), F.col("_low")
+    # one condition, not two joined by "and": of a filter, the dear half would be pushed below _low, to all texts
+    spam = F.when(maybe(low, "SPAM"), has(t, "SPAM")).otherwise(False)
+    dated = F.when(t.rlike(r"(?U)20\d\d"), occurrences(t, "DATE_HEAD")).otherwise(0)
+    return rows.withColumns({"n_norm": F.length(t), "is_spam": spam, "n_digits": digits(t), "n_dated": dated, **_topics("_low")}).drop("_low")
 
 
-def _counted(rows: DataFrame, words: str = "_low") -> DataFrame:
-    """rows with norm and, for _low, the features that are read from them. words: what an ASCII text's topics are counted in."""
+def _topics(words: str) -> dict[str, Column]:
+    """Counts of flu and animals in norm, and whether it can name another disease. words: what an ASCII text's are counted in."""
     t, low = F.col("norm"), F.col("_low")
 
     def counted(name):
         simple = F.regexp_count(words, F.lit(L.low_ascii(name))).cast("int")
         return F.when(plain(t), simple).when(maybe(low, name), occurrences(t, name)).otherwise(0)
 
-    # one condition, not two joined by "and": of a filter, the dear half would be pushed below _low, to all texts
-    spam = F.when(maybe(low, "SPAM"), has(t, "SPAM")).otherwise(False)
-    return rows.withColumns({
-        "n_norm": F.length(t), "is_spam": spam, "n_digits": digits(t), "n_dated": F.when(t.rlike(r"(?U)20\d\d"), occurrences(t, "DATE_HEAD")).otherwise(0),
-        "n_flu": counted("FLU"), "n_animal": counted("ANIMAL_TERMS"), "_diseases": F.when(plain(t), F.col(words).rlike(L.word_beginnings("OTHER_DIS"))).otherwise(maybe(low, "OTHER_DIS"))}).drop("_low", words)
+    return {"n_flu": counted("FLU"), "n_animal": counted("ANIMAL_TERMS"), "_diseases": F.when(plain(t), F.col(words).rlike(L.word_beginnings("OTHER_DIS"))).otherwise(maybe(low, "OTHER_DIS"))}
 
 
 def features(articles: DataFrame, text: str = "text", year: str = "year", rules: Thresholds = Thresholds()) -> DataFrame:
     """Adds the junk features and, for texts that pass them and name flu, the sentence sums (zeros else)."""
     filled = articles.withColumn(text, F.coalesce(F.col(text), F.lit("")))
-    low = filled.withColumn("norm", normalised(F.col(text))).withColumn("_low", F.lower("norm"))
+    # whole texts are searched in linear time; Java's patterns see what that leaves: the sentences that can count, and the texts it can't tell
+    seen = filled.withColumn("_seen", screened(F.col(text))).withColumn("_near", F.col("_seen.near"))
+    low = seen.withColumn("norm", normalised(F.col("_near"))).withColumn("_low", F.lower("norm"))
     # the words of all topics in one pass, not in one for each topic
-    f = _counted(low.withColumn("_words", F.when(plain(F.col("norm")), F.array_join(F.regexp_extract_all("_low", F.lit(L.topic_words()), F.lit(0)), " "))), "_words")
+    words = low.withColumn("_words", F.when(plain(F.col("norm")), F.array_join(F.regexp_extract_all("_low", F.lit(L.topic_words()), F.lit(0)), " ")))
+    whole, known = normalised(F.col(text)), lambda name, other: F.coalesce(F.col(f"_seen.{name}"), other)
+    f = words.withColumns({"n_norm": F.col("_seen.n_norm"), "is_spam": known("spam", has(whole, "SPAM")), "n_digits": known("digits", digits(F.col(text))),
+                           "n_dated": known("dated", occurrences(whole, "DATE_HEAD")), **_topics("_words")})
     passed = ~F.col("is_spam") & (F.col("n_norm") >= rules.min_chars) & ~(F.try_divide("n_digits", "n_norm") > rules.max_digit_ratio) & (F.col("n_dated") < rules.max_dated) & (F.col("n_flu") > 0)
     zero = F.struct(*[F.lit(0).alias(n) for n in SUMS])
     # a generator of one row: the sums are computed once, and filters on them stay above it (else Catalyst would push the
     # whole cascade, twice, below the joins that thin out the articles)
-    sums = F.when(passed, sentence_sums(F.col(text), F.col(year), F.col("_diseases"), rules)).otherwise(zero)
-    return f.select(*[c for c in f.columns if c not in ("norm", "_diseases")], F.explode(F.array(sums)).alias("sums"))
+    sums = F.when(passed, sentence_sums(F.col("_near"), F.col(year), F.col("_diseases"), rules)).otherwise(zero)
+    return f.select(*[c for c in f.columns if c not in ("norm", "_diseases", "_seen", "_near", "_low", "_words")], F.explode(F.array(sums)).alias("sums"))
 
 
 def bucket_of(rules: Thresholds = Thresholds()) -> Column:

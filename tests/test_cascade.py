@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import lexicon as L
 from newsloom.functions import text as X
+from newsloom.functions.screen import screened
 from newsloom.operators import classify
 from newsloom.sources.adapter import PHRASES
 
@@ -199,6 +200,48 @@ def test_sentences_near_flu_are_taken_by_their_places(spark):
         assert (r["sums"]["flu"], r["sums"]["near"]) == (sum(here), sum(near)), r["t"]
 
 
+ODD_TEXTS = ["İ flu ducks 2016", "ſ flu; 系统维护 é", "bird flu é ducks", "avian influenza é", "flu\x85 Next line é. Flu \x1c. Ebola.", "jan 5, 20१६ é flu " * 9, "Jan 5, 2016 é flu " * 7, "١٢٣" * 60 + " flu", "aCFDé CFD flu", "porné flu", "pornoé flu",
+             "é casino flu", "xem trực tiếp flu", "Caſino flu", "flué ducké tb tbé", "bird\n \nflu\n\x0b\nducks", "bird\n\n flu. \t ducks.Poultry", "a.\x1cFlu one.\x1d\x1e 12 cases. Ebola", "flu \u3000 x. \u3000Flu", "bird\xa0flu é", "one.  \n\n  Two flu\n  lead\n3. Trail  \nflu season has begun",
+             "", "  ", "\n\n", "flu", "flu ﬂu \u212a KELVIN", "duc\u212as flu", "ducks 1\u017f ſhingles flu\u0307", "1990S flu in 1990s", "20 flu² ③ cases é", "whooping\ncough flu", "yellow\n\nfever. flu", "mers farmers flu. no.no.Flu", "No ducks. No. No. None é. Flu. No. No. Measles"]
+
+
+def test_screened_texts_give_the_features_of_whole_texts(spark):
+    """What the linear-time searches say and leave out changes no feature: those of junk_features and the sums of whole texts."""
+    texts = SAMPLES + PHRASES + ODD_TEXTS
+    texts = texts + [FILL + "\n" + t for t in texts] + [f"{a} {FILL}{b} \u2028{c}" for a, b, c in zip(texts, texts[3:], texts[11:])]
+    rows = spark.createDataFrame([(i, t, 2016) for i, t in enumerate(texts)], "i int, text string, year int").repartition(2)
+    names = ["n_norm", "is_spam", "n_digits", "n_dated", "n_flu", "n_animal"]
+    got = classify.features(rows).select("i", *names, "sums").orderBy("i").collect()
+    want = classify.junk_features(rows).select("i", *names, classify.sentence_sums(F.col("text"), F.col("year"), F.lit(True)).alias("sums")).orderBy("i").collect()
+    plan = classify.features(rows)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"ArrowEvalPython \[", plan)) == 1
+    empty = 0
+    for g, w in zip(got, want, strict=True):
+        assert g[:-1] == w[:-1], texts[g["i"]]
+        passed = not w["is_spam"] and w["n_norm"] >= 300 and w["n_digits"] <= 0.05 * w["n_norm"] and w["n_dated"] < 6 and w["n_flu"]
+        assert g["sums"] == w["sums"] if passed else not any(g["sums"]), texts[g["i"]]
+        empty += not passed
+    assert 100 < empty < len(texts) - 100
+
+
+def test_screen_leaves_sentences_that_can_count(spark):
+    texts = ["A. B. Flu C. D. E.\nF", "A. Measles. B. Ducks. C", "farmers. shelf-flush. flus", "", "é. B. C flué. D. E. F", "x \u212a. y. z", "Play at the CASINO."]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", screened(F.col("t")).alias("s")).orderBy("i").collect()
+    assert [r["s"]["near"] for r in rows] == ["B.\nFlu C.\nD.", "Measles.\nDucks.", "", "", "B.\nC flué.\nD.", "x \u212a. y. z", ""]
+    assert [r["s"]["spam"] for r in rows] == [False] * 5 + [None, True] and [r["s"]["digits"] for r in rows] == [0, 0, 0, 0, None, None, 0]
+
+
+def test_screen_looks_at_few_texts_at_a_time(spark, monkeypatch):
+    """Pieces bound memory; they change no result, whatever mix of texts they hold."""
+    import pyarrow as pa
+
+    from newsloom.functions import screen
+    texts = pa.array(ODD_TEXTS + PHRASES)
+    whole = screen._looked_at()(texts)
+    monkeypatch.setattr(screen, "PIECE", 60)
+    assert screen._looked_at()(texts).equals(whole) and len(screen._looked_at()(texts[:0])) == 0
+
+
 def test_sentences_digits_and_spaces(spark):
     texts = ["One. Two!  Three?\n\nFour", "a.b. c", "", " \n ", "x\x1cy.\x85z", "² ١٢ 12 ①"]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")

@@ -1,6 +1,7 @@
 import csv
 import datetime as dt
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -301,6 +302,15 @@ def test_packets_search_ascii_texts_by_the_cheaper_patterns(spark, name):
     assert plan.count(lexicon.topic_words()) == 1 and lexicon.low_search("TREND_NEAR") in plan
 
 
+def test_packet_mix_looks_at_whole_texts_once(spark):
+    """Linear-time searches look at each whole text; Java's sentences are those that they leave."""
+    from newsloom.plans import registry
+    plan = registry.queries()["packet_mix"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"ArrowEvalPython \[", plan)) == 1
+    cascade = plan.index(CASCADE)
+    assert cascade < plan.index("ArrowEvalPython [") < plan.index("Join", cascade)
+
+
 @pytest.mark.parametrize("name", ["pool_weighted_rate", "pool_cell_rate"])
 def test_rates_read_rows_that_were_computed_once(spark, name):
     from newsloom.plans import registry
